@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.bpe import encode_ids
+from foliant.llm.garbled import garbled, repaired_texts
 from foliant.llm.leaks import leaked_items
 from foliant.llm.pieces import oversized, text_pieces
 from foliant.llm.repeated import repeated_lines, without_repeated_lines
@@ -72,3 +73,13 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("p9_found")
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled(table(spark, folder, "documents"))
+
+
+@query("p10_texts")
+def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired_texts(table(spark, folder, "documents"))
