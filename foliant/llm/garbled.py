@@ -55,6 +55,7 @@ PAIRS = [
     ("big5", "cp1252"),
 ]
 UTF8_PAIRS = [p for p in PAIRS if p[0] == "utf-8"]
+ALIKE = {"utf-8", "cp1252", "cp437", "mac_roman"}
 CYRILLIC = {"cp1251", "koi8_r", "cp866"}
 LOST = "�"
 CODE = re.compile(r"(`+)(?!`)(?:(?!\1)[^\n])*?[^`\n]\1(?!`)")
@@ -169,7 +170,7 @@ class Model:
 
     pairs: dict[str, int]
     enter: float = 1e-4
-    enter_unchecked: float = 1e-9  # other encodings than UTF-8 have no structure to check
+    enter_script: float = 1e-9  # a whole other script, with no structure like UTF-8's to check
     leave: float = 0.1
     weight: float = 0.3
 
@@ -214,7 +215,7 @@ class Model:
     def label(self, emissions: list[list[tuple[int, float, str]]]) -> list[int]:
         """The likeliest state of each run of a text (Viterbi)."""
         n = len(PAIRS) + 1
-        start = np.array([math.log((self.enter if p in UTF8_PAIRS else self.enter_unchecked) / (n - 1)) for p in (("", ""), *PAIRS)])
+        start = np.array([math.log((self.enter if p[0] in ALIKE else self.enter_script) / (n - 1)) for p in (("", ""), *PAIRS)])
         start[0] = math.log(1 - self.enter)
         move = np.tile(start + math.log(self.leave), (n, 1))
         move[:, 0] = math.log(self.leave)
