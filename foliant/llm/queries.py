@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm.bpe import encode_ids
 from foliant.llm.garbled import garbled, repaired_texts
 from foliant.llm.leaks import leaked_items
+from foliant.llm.markup import clean_texts, markup_kinds
 from foliant.llm.pieces import oversized, text_pieces
 from foliant.llm.repeated import repeated_lines, without_repeated_lines
 
@@ -83,3 +84,13 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p10_texts")
 def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
     return repaired_texts(table(spark, folder, "documents"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup_kinds(table(spark, folder, "concepts"))
+
+
+@query("p7_clean")
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_texts(table(spark, folder, "concepts"))
