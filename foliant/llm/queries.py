@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.llm.boilerplate import chrome_rows, main_text
 from foliant.llm.bpe import encode_ids
 from foliant.llm.garbled import garbled, repaired_texts
 from foliant.llm.leaks import leaked_items
 from foliant.llm.markup import clean_texts, markup_kinds
 from foliant.llm.pieces import oversized, text_pieces
+from foliant.llm.residue import residue, without_residue
 from foliant.llm.repeated import repeated_lines, without_repeated_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,30 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p7_clean")
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_texts(table(spark, folder, "concepts"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return chrome_rows(table(spark, folder, "concepts"))
+
+
+@query("p2_main")
+def p2_main(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "concepts")).select("concept_id", "content").distinct()
+
+
+def _sources(spark: SparkSession, folder: str) -> list:
+    return [
+        ("concept", table(spark, folder, "concepts"), "concept_id", "content", "resource"),
+        ("manifest", table(spark, folder, "manifest"), "entry_id", "error", "url"),
+    ]
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue(_sources(spark, folder)).select("origin", "record_id")
+
+
+@query("p4_kept")
+def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return without_residue(_sources(spark, folder))

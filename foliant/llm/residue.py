@@ -31,7 +31,7 @@ PLACEHOLDER = re.compile(
     | %%[A-Z][A-Z_]*%% | %[A-Z]+_[A-Z_]+% | @@\w+@@ | &&[A-Z_]+&& | (?<!~)~[A-Z]{3,}~(?!~) | X{4}-[A-Z]+-X{4} | \bX{6,}\b
     | \{[a-z_\ ]+\ goes\ here\} | (?<![\w}\]\\$^_{])\{(?:\d|[a-z_]{2,})\}(?!\}) | \{%[^%\n]{1,80}%\} | <%[^%\n]{1,80}%> | \#\{\w[^{}\n]{0,60}\}
     | \[(?:INSERT|YOUR|ENTER)\b[^\]\n]{0,60}\](?![(\[]) | \[(?:insert|your|enter)\ [^\]\n]{1,40}\](?![(\[:]) | <(?:insert|your|enter)[\ _-][^>\n]{1,40}>
-    | __[A-Z]+(?:_[A-Z]+)+__ | (?<![\w%])(?<!\d\ )%[sd](?!\w) | \[object\ Object\] | \bInvalid\ Date\b | \bNaN\b.{0,40}\bundefined\b
+    | \({3,}[^()\n]{1,60}\){3,} | __[A-Z]+(?:_[A-Z]+)+__ | (?<![\w%])(?<!\d\ )%[sd](?!\w) | \[object\ Object\] | \bInvalid\ Date\b | \bNaN\b.{0,40}\bundefined\b
     | \bundefined\b.{0,40}\b(?:NaN|null)\b | \b(?:Hello|Dear|Welcome)\ (?:undefined|null)\b | ^\W*undefined\W*$""",
     re.X,
 )
@@ -65,7 +65,7 @@ _URL = re.compile(r"(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 #: A line with neither of these can show no residue; plain substring search keeps most texts from the patterns above.
-_SIGNS = re.compile(r"\{[\w{% ]|\$[{(]|%[(%A-Zsd]|@@|&&[A-Z]|~[A-Z]|XXXX|#\{|\[(?:INSERT|YOUR|ENTER|insert|your|enter|object)|<(?:%|insert|your|enter|title)|__[A-Z]+_|undefined|NaN|Invalid Date")
+_SIGNS = re.compile(r"\(\(\(|\{[\w{% ]|\$[{(]|%[(%A-Zsd]|@@|&&[A-Z]|~[A-Z]|XXXX|#\{|\[(?:INSERT|YOUR|ENTER|insert|your|enter|object)|<(?:%|insert|your|enter|title)|__[A-Z]+_|undefined|NaN|Invalid Date")
 _HINTS = """todo:|todo -|tbd|fixme|asdf|placeholder text|text about|texte sur|body text|sample text|dummy text|filler text|example text|noch ein text|el texto
 un texto|texto |not found|gateway|forbidden|server error|unavailable|unauthorized|too many requests|page not|access denied
 nicht gefunden|introuvable|no encontrada|went wrong|exist or has moved|looking for|renamed|session has|permission|not be completed|not available
