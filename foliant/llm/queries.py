@@ -14,6 +14,7 @@ from foliant.llm.markup import clean_texts, markup_kinds
 from foliant.llm.pieces import oversized, text_pieces
 from foliant.llm.residue import residue, without_residue
 from foliant.llm.repeated import repeated_lines, without_repeated_lines
+from foliant.llm.similar import similar_groups, similar_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +124,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p4_kept")
 def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
     return without_residue(_sources(spark, folder))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "concepts"), n=3, threshold=0.6)
+
+
+@query("p6_groups")
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(table(spark, folder, "concepts"))
