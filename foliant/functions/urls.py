@@ -98,21 +98,35 @@ def parent_directory(url: Column) -> Column:
     return F.when(url.isNull(), None).when(rooted, F.concat(F.lit("/"), up)).when(up == "", ".").otherwise(up)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _resolved_path(base: Column, ref: Column) -> Column:
-    b = F.split(base, "/", -1)
-    b = F.when(F.element_at(b, -1) == "", b).otherwise(F.slice(b, 1, F.size(b) - 1))
-    s = F.when(F.startswith(ref, F.lit("/")), F.split(ref, "/", -1)).otherwise(F.concat(b, F.split(ref, "/", -1)))
-    n = F.size(s)
-    inner = F.filter(F.slice(s, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != "")
-    s = F.when((n > 2) & ~F.startswith(ref, F.lit("/")), F.concat(F.slice(s, 1, 1), inner, F.slice(s, n, 1))).otherwise(s)
+    """A reference's path seen from a base path, without dot segments."""
     empty = F.array().cast("array<string>")
-    out = F.aggregate(
-        s,
-        empty,
-        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    joined = F.array_join(F.when(F.element_at(s, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out), "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    rooted = F.startswith(ref, F.lit("/"))
+
+    def below(b: Column) -> Column:
+        kept = F.when(F.element_at(b, -1) == "", b).otherwise(F.slice(b, 1, F.size(b) - 1))
+        return _let(F.concat(kept, F.split(ref, "/", -1)), without_gaps)
+
+    def without_gaps(s: Column) -> Column:
+        inner = F.filter(F.slice(s, 2, F.greatest(F.size(s) - 2, F.lit(0))), lambda x: x != "")
+        return F.when(F.size(s) > 2, F.concat(F.slice(s, 1, 1), inner, F.slice(s, F.size(s), 1))).otherwise(s)
+
+    def without_dots(s: Column) -> Column:
+        out = F.aggregate(
+            s,
+            empty,
+            lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+        )
+        tail = F.when(F.element_at(s, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+        return F.array_join(F.concat(out, tail), "/")
+
+    made = _let(F.when(rooted, F.split(ref, "/", -1)).otherwise(_let(F.split(base, "/", -1), below)), without_dots)
+    return _let(made, lambda m: F.when(m == "", "/").otherwise(m))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -121,27 +135,32 @@ def resolve(base: Column, href: Column) -> Column:
     Empty hrefs give the page, ``//host`` keeps the scheme, other schemes stay as they are, dot segments are taken
     out of what is resolved, and a reference's own absolute url is left alone.
     """
-    s, n, p, q, f = (_part(href, k) for k in range(1, 6))
-    foreign = (s != "") & (F.lower(s) != scheme(base))
-    b = raw_path(base)
-    own_path = F.when(p == "", b).otherwise(_resolved_path(b, p))
-    own_query = F.when((p == "") & (q == ""), query(base)).otherwise(q)
-    at = F.when(n != "", n).otherwise(netloc(base))
-    out_path = F.when(n != "", p).otherwise(own_path)
-    out_query = F.when(n != "", q).otherwise(own_query)
-    slash = F.when((out_path != "") & ~F.startswith(out_path, F.lit("/")), "/").otherwise("")
-    made = F.concat(
-        scheme(base), F.lit("://"), at, slash, out_path, F.when(out_query != "", F.concat(F.lit("?"), out_query)).otherwise(""), F.when(f != "", F.concat(F.lit("#"), f)).otherwise("")
+    parts = F.struct(
+        *(_part(href, k).alias(n) for k, n in enumerate("snpqf", 1)), scheme(base).alias("bs"), netloc(base).alias("bn"), raw_path(base).alias("bp"), query(base).alias("bq"), base.alias("base"), href.alias("href")
     )
-    return F.when(href.isNull() | base.isNull(), None).when(href == "", base).when(foreign, href).otherwise(made)
+
+    def put(x: Column) -> Column:
+        own = x["n"] != ""
+        path_ = F.when(own, x["p"]).when(x["p"] == "", x["bp"]).otherwise(_resolved_path(x["bp"], x["p"]))
+        query_ = F.when(~own & (x["p"] == "") & (x["q"] == ""), x["bq"]).otherwise(x["q"])
+        slashed = _let(path_, lambda p: F.concat(F.when((p != "") & ~F.startswith(p, F.lit("/")), "/").otherwise(""), p))
+        tail = F.concat(_let(query_, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")), F.when(x["f"] != "", F.concat(F.lit("#"), x["f"])).otherwise(""))
+        made = F.concat(x["bs"], F.lit("://"), F.when(own, x["n"]).otherwise(x["bn"]), slashed, tail)
+        foreign = (x["s"] != "") & (F.lower(x["s"]) != x["bs"])
+        return F.when(x["href"].isNull() | x["base"].isNull(), None).when(x["href"] == "", x["base"]).when(foreign, x["href"]).otherwise(made)
+
+    return _let(parts, put)
 
 
 def relative_md(target: Column, source: Column) -> Column:
     """The link from the page at ``source`` to the page at ``target``, both page paths, as files of one bundle."""
-    parts = F.split(source, "/", -1)
-    here = F.when(F.size(parts) > 1, F.slice(parts, 1, F.size(parts) - 1)).otherwise(F.array().cast("array<string>"))
-    there = F.split(F.concat(target, F.lit(".md")), "/", -1)
-    least = F.least(F.size(here), F.size(there) - 1)
-    steps = F.when(least > 0, F.sequence(F.lit(1), F.greatest(least, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    common = F.aggregate(steps, F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.get(there, i - 1) == F.get(here, i - 1)), i).otherwise(acc))
-    return F.concat(F.repeat(F.lit("../"), F.size(here) - common), F.array_join(F.slice(there, common + 1, F.size(there) - common), "/"))
+    empty = F.array().cast("array<string>")
+
+    def put(x: Column) -> Column:
+        least = F.least(F.size(x["here"]), F.size(x["there"]) - 1)
+        steps = F.when(least > 0, F.sequence(F.lit(1), F.greatest(least, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        common = F.aggregate(steps, F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.get(x["there"], i - 1) == F.get(x["here"], i - 1)), i).otherwise(acc))
+        return _let(common, lambda k: F.concat(F.repeat(F.lit("../"), F.size(x["here"]) - k), F.array_join(F.slice(x["there"], k + 1, F.size(x["there"]) - k), "/")))
+
+    here = _let(F.split(source, "/", -1), lambda p: F.when(F.size(p) > 1, F.slice(p, 1, F.size(p) - 1)).otherwise(empty))
+    return _let(F.struct(here.alias("here"), F.split(F.concat(target, F.lit(".md")), "/", -1).alias("there")), put)
