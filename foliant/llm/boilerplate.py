@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ _OWN = re.compile(r"^\s*(?:\||\{\||[;:](?=\S)|>|\\|\$|!\[|\[\^?[^\]]+\]:|[-*+]\s
 _LINK = re.compile(r"^\s*(?:(?:[-*+]|\d+[.)])\s+)?(?:\[[^\]]*\]\([^)]*\)|<li>\s*<a\b[^>]*>.*?</a>\s*</li>|<a\b[^>]*>.*?</a>)\s*$", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ANCHOR = re.compile(r"!?\[([^\[\]]*)\]\([^)]*\)")
-_SPLIT = re.compile(r"\s*[|·•»›→←/>–—]+\s*|\s{2,}|\s*[:;,.!?…]+\s+|\s+[-<]\s+")
+_SPLIT = re.compile(r"[|·•»›→←/>–—]+|[:;,.!?…]+\s+|\s(?:\s+|[-<]\s)")
 _END = re.compile(r"[.!?…:;。！？)\]}>`\"”’»,]\s*$")
 _DIGITS = re.compile(r"\d+")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = " \t\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…·•–—→←›‹©®👍👎\u200d"
 
 
 def visible(line: str) -> str:
@@ -42,41 +41,58 @@ def visible(line: str) -> str:
 
 def tokens(shown: str) -> list[str]:
     """The segments of a line between separators, without case, digits and outer marks."""
-    out = (_EDGE.sub("", _DIGITS.sub("0", t.lower())) for t in _SPLIT.split(shown))
-    return [re.sub(r"\s+", " ", t) for t in out if t]
+    flat = _DIGITS.sub("0", shown.lower())
+    return [" ".join(t.split()) if "\t" in t or "\xa0" in t else t for t in (x.strip(_MARKS) for x in _SPLIT.split(flat)) if t]
 
 
-@dataclass
 class Line:
-    no: int
-    block: int
-    role: str  # head, list, own, link, text
-    shown: str
-    tokens: list[str]
+    """A line with its number, block, role (head, list, own, link, text) and visible words."""
+
+    __slots__ = ("no", "block", "role", "shown", "_tokens")
+
+    def __init__(self, no: int, block: int, role: str, shown: str) -> None:
+        self.no, self.block, self.role, self.shown, self._tokens = no, block, role, shown, None
+
+    @property
+    def tokens(self) -> list[str]:
+        if self._tokens is None:
+            self._tokens = tokens(self.shown)
+        return self._tokens
 
     @property
     def short(self) -> bool:
-        return len(self.shown) <= 160 and not _END.search(self.shown)
+        return len(self.shown) <= 160 and not _END.search(self.shown[-8:])
+
+
+def role_of(raw: str, bare: str) -> str:
+    first = bare[0]
+    if first.isalpha():
+        return "own" if first in "dD" and bare[:5].lower() == "data:" else "text"
+    if _HEADING.match(raw):
+        return "head"
+    if _LINK.match(raw):
+        return "link"
+    return "own" if _OWN.match(raw) else "list" if _LIST.match(raw) else "text"
 
 
 def parse(text: str) -> list[Line]:
     """The lines of a page outside fenced code that aren't blank, each with its block and role."""
     out, block, fence = [], 0, None
     for no, raw in enumerate(text.split("\n"), 1):
-        m = _FENCE.match(raw)
+        bare = raw.strip()
+        if not bare:
+            block += not fence
+            continue
+        m = _FENCE.match(raw) if bare[0] in "`~" else None
         if fence or m:
             if m and not fence:
                 fence = m.group(1)
-            elif m and m.group(1).startswith(fence[:3]) and not raw.strip().strip("`~"):
+            elif m and m.group(1).startswith(fence[:3]) and not bare.strip("`~"):
                 fence = None
             block += not fence
             continue
-        if not raw.strip():
-            block += 1
-            continue
-        shown = visible(raw)
-        role = "head" if _HEADING.match(raw) else "link" if _LINK.match(raw) else "own" if _OWN.match(raw) else "list" if _LIST.match(raw) else "text"
-        out.append(Line(no, block, role, shown, tokens(shown)))
+        role = role_of(raw, bare)
+        out.append(Line(no, block, role, bare if role == "text" and "<" not in bare and "[" not in bare and "*" not in bare and "__" not in bare else visible(raw)))
     return out
 
 
@@ -171,7 +187,7 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
     if altogether(text):
         return []
     lines = parse(text)
-    own_heads = {t for x in lines if x.role == "head" for t in [" ".join(x.tokens)]}
+    own_heads = {" ".join(x.tokens) for x in lines if x.role == "head"}
     own_title = " ".join(tokens(title or ""))
     by_block: dict[int, list[Line]] = {}
     for x in lines:
@@ -183,20 +199,16 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
             if x.role in ("head", "own"):
                 opened = False
                 continue
-            whole = " ".join(x.tokens)
-            all_in = bool(x.tokens) and all(template.has(t) for t in x.tokens)
             chrome = False
             if x.role == "link":
                 chrome = True
             elif x.role == "list":
-                chrome = opened or (all_in and x.short and any(not template.heading(t) for t in x.tokens) and _listed(block, k, template))
-            elif all_in or not x.tokens:
-                chrome = True
-            elif x.short:
+                chrome = opened or (x.short and _listed(block, k, template))
+            elif x.short or all(template.has(t) for t in x.tokens):
                 chrome = True
-            elif len(x.tokens) > 1 and x.tokens[-1] in (own_title, *own_heads):
+            elif len(x.shown) <= 400 and len(x.tokens) > 1 and x.tokens[-1] in (own_title, *own_heads):
                 chrome = True
-            elif template.menu(x.shown) or template.has(whole):
+            elif template.menu(x.shown):
                 chrome = True
             if chrome:
                 out.add(x.no)
@@ -213,7 +225,7 @@ def _listed(block: list[Line], k: int, template: Template) -> bool:
     while b + 1 < len(block) and block[b + 1].role in ("list", "link"):
         b += 1
     items = [x for x in block[a : b + 1] if x.role == "list"]
-    return len(items) > 1 and all(x.tokens and all(template.has(t) for t in x.tokens) for x in items)
+    return any(not template.heading(t) for t in block[k].tokens) and len(items) > 1 and all(x.tokens and all(template.has(t) for t in x.tokens) for x in items)
 
 
 def _templates(classes: list[tuple[str, int, bool]]) -> dict[str, Template]:
