@@ -144,6 +144,10 @@ def contexts(text: str) -> Iterator[tuple[str, str, str]]:
         yield text[a - 1] if a else "\n", m.group(), text[b] if b < len(text) else "\n"
 
 
+def _common(c: str) -> bool:
+    return ord(c) < 0x530 or 0x2000 <= ord(c) < 0x2200 or 0x2E80 <= ord(c) < 0xFB00
+
+
 def bigrams(counts: Counter) -> Counter:
     """Pairs of symbols in runs that no UTF-8 reading explains, so that garbled text teaches the model little."""
     out: Counter = Counter()
@@ -154,8 +158,8 @@ def bigrams(counts: Counter) -> Counter:
             bad = LOST in run or CONTROL.search(run) is not None
             for x, w in UTF8_PAIRS:
                 t = invert(run, x, w)
-                # clean Cyrillic has a chance sequence now and then; garble leaves none of the run, and common signs
-                bad |= t is not None and t != run and (w not in CYRILLIC or (not set(t) & set(run) and all(ord(c) < 0x500 or 0x2000 <= ord(c) < 0x2200 for c in t)))
+                # clean text has a chance sequence now and then; garble gives common signs, and of Cyrillic leaves none
+                bad |= t is not None and t != run and all(_common(c) for c in t) and (w not in CYRILLIC or not set(t) & set(run))
             doubtful[run] = bad
         if not bad:
             s = symbol(a) + "".join(map(symbol, run)) + symbol(b)

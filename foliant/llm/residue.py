@@ -32,7 +32,7 @@ PLACEHOLDER = re.compile(
     | \{[a-z_\ ]+\ goes\ here\} | (?<![\w}\]\\$^_{])\{(?:\d|[a-z_]{2,})\}(?!\}) | \{%[^%\n]{1,80}%\} | <%[^%\n]{1,80}%> | \#\{\w[^{}\n]{0,60}\}
     | \[(?:INSERT|YOUR|ENTER)\b[^\]\n]{0,60}\](?![(\[]) | \[(?:insert|your|enter)\ [^\]\n]{1,40}\](?![(\[:]) | <(?:insert|your|enter)[\ _-][^>\n]{1,40}>
     | \({3,}[^()\n]{1,60}\){3,} | __[A-Z]+(?:_[A-Z]+)+__ | (?<![\w%])(?<!\d\ )%[sd](?!\w) | \[object\ Object\] | \bInvalid\ Date\b | \bNaN\b.{0,40}\bundefined\b
-    | \bundefined\b.{0,40}\b(?:NaN|null)\b | \b(?:Hello|Dear|Welcome)\ (?:undefined|null)\b | ^\W*undefined\W*$""",
+    | \bundefined\b.{0,40}\bNaN\b | \b(?:Hello|Dear|Welcome)\ (?:undefined|null)\b | ^\W*undefined\W*$""",
     re.X,
 )
 #: Sentences that stand for a text yet to be written.
@@ -84,7 +84,7 @@ def is_filler(sentence: str) -> bool:
 def evidence(line: str) -> str | None:
     """What kind of residue a line without code shows, if any."""
     bare = _URL.sub("URL", line)
-    if PLACEHOLDER.search(bare):
+    if _SIGNS.search(bare) and PLACEHOLDER.search(bare):
         return "placeholder"
     for sentence in _SENTENCE.split(bare):
         if FILLER.search(sentence) or is_filler(sentence):
