@@ -16,27 +16,33 @@ from foliant.llm.lines import slices, words_of
 from foliant.scale import cut, one_row_per_id
 
 #: Counters of the frequency sketch, and how many go in one row of it.
-COUNTERS, CHUNK = 1 << 21, 1 << 15
-#: Bits of a signature, in 64-bit words.
-WORDS = 8
+COUNTERS, CHUNK = 1 << 23, 1 << 17
+#: 64-bit words of the smallest and the largest signature, and bits for each element of a set.
+LEAST_WORDS, LEVELS, BITS_EACH = 8, 6, 1.5
 #: Rows of pairs that a tile looks at in one step.
 STEP = 1 << 20
 
 
-def shingles(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
-    """The set of all runs of ``n`` words, as ascending 64-bit hashes."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
+def shingle_sets(texts: list[list[str]], n: int, known: dict[str, int]) -> list[np.ndarray]:
+    """For each list of words the set of all runs of ``n`` of them, as ascending 64-bit hashes."""
     if len(known) > 500_000:
         known.clear()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    words = [w for t in texts for w in t]
     for w in set(words) - known.keys():
         known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
+    m = max(0, len(words) - n + 1)
+    out = np.zeros(m, np.uint64)
     for k in range(n):
-        out = (out ^ h[k : len(words) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[k : m + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    ends = np.cumsum(sizes)
+    return [np.unique(out[e - c : e - n + 1]) if c >= n else out[:0] for e, c in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def shingles(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    return shingle_sets([words], n, known)[0]
 
 
 def overlap_needed(a: np.ndarray | int, b: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -49,15 +55,66 @@ def prefix_length(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
-def signature(sets: np.ndarray) -> np.ndarray:
-    """A set's bitmap: one bit for each element's hash."""
-    bit = (sets >> np.uint64(11)) % np.uint64(64 * WORDS)
-    out = np.zeros(WORDS, np.uint64)
-    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def level_of(size: np.ndarray | int) -> np.ndarray:
+    """Signatures have LEAST_WORDS x 2^level words: enough bits for their set."""
+    need = np.maximum(1.0, np.asarray(size) * BITS_EACH / (64 * LEAST_WORDS))
+    return np.minimum(np.ceil(np.log2(need)).astype(np.int64), LEVELS - 1)
 
 
-def tile_pairs(token: np.ndarray, place: np.ndarray, doc: np.ndarray, side: np.ndarray, size: np.ndarray, bits: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def signature(elements: np.ndarray) -> np.ndarray:
+    """A set's bitmap: one bit for each element's hash."""
+    bits = 64 * LEAST_WORDS << int(level_of(len(elements)))
+    flags = np.zeros(bits, bool)
+    flags[((elements >> np.uint64(11)) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.uint64)
+
+
+class Signatures:
+    """The bitmaps of a tile's documents. A larger one is folded in halves to stand beside a smaller one."""
+
+    def __init__(self, size: np.ndarray, flat: np.ndarray) -> None:
+        self.level = level_of(size)
+        words = LEAST_WORDS << self.level
+        start = np.concatenate([[0], np.cumsum(words)[:-1]])
+        self.rows, self.at = [], []
+        above = None
+        for level in range(LEVELS - 1, -1, -1):
+            width = LEAST_WORDS << level
+            own = np.flatnonzero(self.level >= level)
+            at = np.full(len(size), -1)
+            at[own] = np.arange(len(own))
+            rows = np.zeros((len(own), width), np.uint64)
+            exact = own[self.level[own] == level]
+            rows[at[exact]] = flat[start[exact][:, None] + np.arange(width)]
+            if above is not None:
+                higher = np.flatnonzero(self.level > level)
+                rows[at[higher]] = above[:, :width] | above[:, width:]
+            above = rows
+            self.rows.insert(0, rows), self.at.insert(0, at)
+
+    def missing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits of a's signature that b's lacks: each is at least one element of a that b has not."""
+        level = np.minimum(self.level[a], self.level[b])
+        out = np.zeros(len(a), np.int64)
+        for k in np.unique(level):
+            own = np.flatnonzero(level == k)
+            for c in range(0, len(own), 1 << 16):
+                i = own[c : c + (1 << 16)]
+                out[i] = np.bitwise_count(self.rows[k][self.at[k][a[i]]] & ~self.rows[k][self.at[k][b[i]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: exact under 128, then four steps an octave; in the same order."""
+    high = 128 + np.floor(4 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts < 128, counts, np.minimum(high, 255)).astype(np.uint8)
+
+
+#: The least count behind each code.
+COUNT_OF = np.array([*range(128), *(math.ceil(128 * 2 ** (k / 4)) for k in range(128))], np.int64)
+
+
+def tile_pairs(token: np.ndarray, place: np.ndarray, doc: np.ndarray, side: np.ndarray, size: np.ndarray, bits: Signatures, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of documents of a tile that may reach ``threshold``.
 
     Rows are (token, place of the token in its document's order, document); size and bits are the documents'. Within
@@ -86,8 +143,7 @@ def tile_pairs(token: np.ndarray, place: np.ndarray, doc: np.ndarray, side: np.n
             a, b, need = a[ok], b[ok], need[ok]
             for flip in (False, True):
                 p, q = (b, a) if flip else (a, b)
-                missing = np.bitwise_count(bits[p] & ~bits[q]).sum(axis=1, dtype=np.int64)
-                ok = size[p] - missing >= need
+                ok = size[p] - bits.missing(p, q) >= need
                 a, b, need = a[ok], b[ok], need[ok]
             if len(a):
                 found.append(np.unique(np.minimum(a, b) * len(size) + np.maximum(a, b)))
@@ -112,24 +168,27 @@ def _sketch(docs: DataFrame, n: int, min_words: int) -> np.ndarray:
     """How many documents' sets fall on each of COUNTERS counters, over all documents; its size never grows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(COUNTERS, np.int64), {}
+        total, known = np.zeros(COUNTERS, np.int32), {}
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingles(w, n, known) for t in part.column(1).to_pylist() if len(w := words_of(t)) >= min_words]
+            for part in slices(batch, "text", 1 << 22):
+                sets = shingle_sets([w for t in part.column(1).to_pylist() if len(w := words_of(t)) >= min_words], n, known)
                 if sets:
-                    total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, CHUNK)
+                    at, n_at = np.unique((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                    total[at] += n_at.astype(np.int32)
+        parts = coded(total).reshape(-1, CHUNK)
         rows = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[k].tobytes() for k in rows], pa.binary())], ["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+        total = np.zeros(CHUNK, np.int64)
+        for x in table.column("counts"):
+            total += COUNT_OF[np.frombuffer(x.as_py(), np.uint8)]
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([coded(total).tobytes()], pa.binary())})
 
     rows = docs.select("id", "text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint16)
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
     for r in rows:
-        out[r.part] = np.frombuffer(r.counts, np.uint16)
+        out[r.part] = np.frombuffer(r.counts, np.uint8)
     return out.reshape(-1)
 
 
@@ -139,13 +198,9 @@ _TILE = {"bucket": "int", "tokens": "binary", "places": "binary", "docs": "binar
 def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, n: int, min_words: int, threshold: float, buckets: int, split: int, known: dict[str, int]) -> pa.RecordBatch | None:
     """One row for each bucket: the rare tokens that a slice's documents send there, and those documents' signatures."""
     token, place, doc, kept, sizes, bits = [], [], [], [], [], []
-    for key, text in zip(ids, texts, strict=True):
-        words = words_of(text)
-        if len(words) < min_words:
-            continue
-        own = shingles(words, n, known)
-        if not len(own):
-            continue
+    split_texts = [words_of(t) for t in texts]
+    long = [k for k, w in enumerate(split_texts) if len(w) >= max(min_words, n)]
+    for key, own in zip([ids[k] for k in long], shingle_sets([split_texts[k] for k in long], n, known), strict=True):
         seen = sketch[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
         first = np.lexsort((own, seen))[: prefix_length(len(own), threshold)]
         at = np.flatnonzero(seen[first] > 1)  # a token counted once has no partner
@@ -155,7 +210,7 @@ def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, n: int, min_word
         return None
     token, place, doc = np.concatenate(token), np.concatenate(place).astype(np.int32), np.concatenate(doc).astype(np.int32)
     side = np.zeros(len(token), np.int8)
-    seen = sketch[(token & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
+    seen = COUNT_OF[sketch[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]]
     if (seen > split).any():  # spread a common token over a grid of tiles
         hot = np.flatnonzero(seen > split)
         rows = [np.flatnonzero(seen <= split)]
@@ -175,7 +230,7 @@ def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, n: int, min_word
     to = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     ends = np.searchsorted(to[order], np.arange(buckets), side="right")
-    ids_, sizes_, bits_ = np.array(kept, np.int64), np.array(sizes, np.int32), np.array(bits)
+    ids_, sizes_ = np.array(kept, np.int64), np.array(sizes, np.int32)
     out: dict[str, list] = {k: [] for k in _TILE}
     start = 0
     for bucket, end in enumerate(ends.tolist()):
@@ -183,7 +238,7 @@ def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, n: int, min_word
         start = end
         if len(rows):
             docs, local = np.unique(doc[rows], return_inverse=True)
-            values = (token[rows], place[rows], local.astype(np.int32), side[rows], ids_[docs], sizes_[docs], bits_[docs])
+            values = (token[rows], place[rows], local.astype(np.int32), side[rows], ids_[docs], sizes_[docs], np.concatenate([bits[k] for k in docs]))
             out["bucket"].append(bucket)
             for name, v in zip(list(_TILE)[1:], values, strict=True):
                 out[name].append(v.tobytes())
@@ -200,7 +255,7 @@ def _bucket_pairs(table: pa.Table, threshold: float) -> pa.Table:
             parts[k].append(v + known if k == "docs" else v)
         known += len(own["ids"])
     x = {k: np.concatenate(v) for k, v in parts.items()}
-    a, b = tile_pairs(x["tokens"], x["places"].astype(np.int64), x["docs"].astype(np.int64), x["sides"], x["sizes"].astype(np.int64), x["bits"].reshape(-1, WORDS), threshold)
+    a, b = tile_pairs(x["tokens"], x["places"].astype(np.int64), x["docs"].astype(np.int64), x["sides"], x["sizes"].astype(np.int64), Signatures(x["sizes"], x["bits"]), threshold)
     a, b = x["ids"][a], x["ids"][b]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -222,7 +277,7 @@ def similar_pairs(
     records must share one among their first ones. Those go to hash buckets with the record's size and a bitmap
     signature. Within a bucket rows of one element lie in order of size and make tiles bounded by the size band; room
     after the shared place and the bits that one signature lacks bound the overlap from above; what is left is
-    verified by intersecting the sorted sets. An element that more than ``split`` records have is spread over a grid
+    verified by intersecting the sets. An element that more than ``split`` records have is spread over a grid
     of tiles, so no hot group lands in one task. Nothing is capped or sampled, and no similar pair is lost.
 
     Defined cases: the columns are joined by a blank, null as empty; records under ``min_words`` words have no
@@ -231,7 +286,7 @@ def similar_pairs(
     """
     docs = _texts(df, id_col, list(columns))
     total = df.count()
-    buckets = max(4, math.ceil(total / docs_per_bucket))
+    buckets = max(12, math.ceil(total / docs_per_bucket))
     copies = cut(docs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     if copies.count() <= 200_000:
         copies = F.broadcast(copies)
@@ -242,7 +297,7 @@ def similar_pairs(
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            for part in slices(batch, "text", 1 << 24):
+            for part in slices(batch, "text", 1 << 22):
                 out = _emit(part.column(0).to_pylist(), part.column(1).to_pylist(), sketch.value, n, min_words, threshold, buckets, split, known)
                 if out is not None:
                     yield out
@@ -251,29 +306,32 @@ def similar_pairs(
     pairs = tiles.groupBy("bucket").applyInArrow(lambda t: _bucket_pairs(t, threshold), "a long, b long")
     pairs = cut(pairs.distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                values = [shingles(words_of(t), n, known).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.binary())], ["id", "elements"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (2, 3))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= threshold * (len(x) + len(y) - common) - 1e-9:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if wanted.count() <= 200_000:
-        wanted = F.broadcast(wanted)
-    elements = reps.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, elements binary")
-    full = pairs.join(elements.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    found = full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    def of(ids: DataFrame, make, schema: str) -> DataFrame:
+        """What ``make`` takes from the set of each record of ``ids``."""
+        wanted = cut(ids.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        if wanted.count() <= 200_000:
+            wanted = F.broadcast(wanted)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, int] = {}
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    sets = shingle_sets([words_of(t) for t in part.column(1).to_pylist()], n, known)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *make(sets)], ["id", *[x.split()[0] for x in schema.split(", ")]])
+
+        return reps.join(wanted, "id", "left_semi").mapInArrow(run, f"id long, {schema}")
+
+    def beside(these: DataFrame, values: DataFrame) -> DataFrame:
+        names = [c for c in values.columns if c != "id"]
+        out = these
+        for side in ("a", "b"):
+            out = out.join(values.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in names)), side)
+        return out.select("a", "b", *(f"{c}_{side}" for side in ("a", "b") for c in names))
+
+    full = beside(pairs, of(pairs, lambda sets: [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], "elements array<bigint>"))
+    common = F.size(F.array_intersect("elements_a", "elements_b"))
+    union = F.size("elements_a") + F.size("elements_b") - common
+    found = full.filter(common >= F.lit(threshold) * union - F.lit(1e-9)).select("a", "b")
 
     def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
