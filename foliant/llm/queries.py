@@ -55,16 +55,22 @@ n as (select concept_id, site, line_no, regexp_replace(trim(regexp_replace(lower
   from l where length(regexp_replace(x, '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')) >= 24),
 f as (select site, line from n group by site, line
   having count(distinct concept_id) >= 5 and count(distinct concept_id) >= 0.05 * (select count(*) from c d where d.site = n.site))
-select distinct concept_id, cast(line_no as integer) as line_no from n join f using (site, line)
 """
 
 
-@query("p5_found", _REPEATED)
+@query("p5_found", _REPEATED + "select distinct concept_id, cast(line_no as integer) as line_no from n join f using (site, line)")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "concepts"))
 
 
-@query("p5_clean")
+@query(
+    "p5_clean",
+    _REPEATED
+    + """, r as (select distinct concept_id, line_no from n join f using (site, line)),
+a as (select concept_id, unnest(string_split(content, chr(10))) as x, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line_no from c),
+k as (select a.concept_id, string_agg(x, chr(10) order by a.line_no) as kept from a anti join r using (concept_id, line_no) group by a.concept_id)
+select c.concept_id, case when c.content is null then null else coalesce(k.kept, '') end as content from c left join k using (concept_id)""",
+)
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_lines(table(spark, folder, "concepts")).select("concept_id", "content").distinct()
 
@@ -74,7 +80,19 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_ids(table(spark, folder, "documents"))
 
 
-@query("p9_found")
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(
+    "p9_found",
+    f"""
+with i as (select item_id, {_WORDS.format('passage')} as w from eval_items where passage is not null),
+g as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as k from i where len(w) > 0)),
+s as (select doc_id, w, n from (select doc_id, {_WORDS.format('text')} as w from documents where text is not null), (select distinct n from g)),
+d as (select doc_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from s where len(w) >= n))
+select distinct doc_id, item_id from d join g using (n, g)
+""",
+)
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -126,7 +144,16 @@ def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
     return without_residue(_sources(spark, folder))
 
 
-@query("p6_found")
+@query(
+    "p6_found",
+    f"""
+with d as (select concept_id, {_WORDS.format("coalesce(any_value(title), '') || ' ' || coalesce(any_value(content), '')")} as w from concepts group by concept_id),
+s as (select distinct concept_id, hash(w[k], w[k + 1], w[k + 2]) as h from (select concept_id, w, unnest(range(1, len(w) - 1)) as k from d where len(w) >= 50)),
+n as (select concept_id, count(*) as n from s group by concept_id),
+p as (select a.concept_id as a, b.concept_id as b, count(*) as c from s a join s b on a.h = b.h and a.concept_id < b.concept_id group by all)
+select p.a as concept_id_a, p.b as concept_id_b from p join n x on x.concept_id = p.a join n y on y.concept_id = p.b where p.c >= 0.6 * (x.n + y.n - p.c)
+""",
+)
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "concepts"), n=3, threshold=0.6)
 
