@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,17 @@ def one_row_per_id(df: DataFrame, id_col: str, max_rows: int = MAX_BROADCAST_ROW
 def bucket_count(rows: int, rows_per_bucket: int) -> int:
     """Buckets that keep each near ``rows_per_bucket`` rows."""
     return max(1, math.ceil(rows / rows_per_bucket))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once a context, so that they need no copy of the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foliant_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant_modules.zip"  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._foliant_shipped = True
