@@ -17,7 +17,7 @@ from foliant.llm.residue import altogether
 from foliant.scale import bounded_broadcast, cut, one_row_per_id
 
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})")
-_LIST = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(?!\[[ xX]\] )")
+_LIST = re.compile(r"^\s*(?:(?:[-+]|\*{1,4}|\d+[.)])\s+(?!\[[ xX]\] )|<li\b[^>]*>)", re.I)
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,6}[^=].*={2,6}\s*$|<h[1-6]\b|\\(?:chapter|(?:sub)*section|paragraph)\b)", re.I)
 #: Lines of an article's own markup: tables, definitions, quotes, formulas, tasks, blocks of elements.
 _OWN = re.compile(r"^\s*(?:\||\{\||[;:](?=\S)|>|\\|\$|!\[|\[\^?[^\]]+\]:|[-*+]\s+\[[ xX]\] |</?(?:p|div|table|t[rdh]|ul|ol|dl|pre|hr|img|blockquote|section|article|figure)\b|<!--|`|data:)", re.I)
