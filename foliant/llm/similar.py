@@ -342,28 +342,37 @@ def similar_pairs(
     return found.unionByName(members).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 
 
-def similar_groups(df: DataFrame, id_col: str = "concept_id", max_rounds: int = 40, **options) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """``(a, label)``: the least record of the connected component of each record of ``edges`` (a, b), which has both directions.
+
+    Each round every record takes the least of its label, its label's label and those around it, and the record that
+    its label names takes the same (FastSV), so whole trees are hooked and chains shrink by a factor a round. Labels
+    only fall and stand still only where they agree along every edge, so the loop needs no bound. Labels are written
+    to the shared folder each round.
+    """
+    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    moved = True
+    while moved:
+        grand = labels.join(labels.select(F.col("a").alias("label"), F.col("label").alias("grand")), "label")
+        near = edges.join(grand.select(F.col("a").alias("b"), F.col("grand").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
+        around = cut(grand.join(near, "a").select("a", "label", F.least("grand", "near").alias("least")))
+        hooks = around.groupBy(F.col("label").alias("a")).agg(F.min("least").alias("hook"))
+        new = cut(around.join(hooks, "a", "left").select("a", F.least("label", "least", "hook").alias("label"), F.col("label").alias("old")))
+        moved = new.filter("label <> old").limit(1).count() > 0
+        labels = new.select("a", "label")
+    return labels
+
+
+def similar_groups(df: DataFrame, id_col: str = "concept_id", **options) -> DataFrame:
     """``(id_col, group_id, links)``: the class of each record (its least id) and its number of links.
 
-    Classes are the connected components of similar_pairs: each round every record takes the least label around it,
-    then the label of its label, until none changes; rounds grow with the logarithm of a chain's length. Labels are
-    written to the shared folder each round. A record without partners is its own class with no links.
+    Classes are the connected components of similar_pairs. A record without partners is its own class with no links.
     """
     pairs = similar_pairs(df, id_col, **options)
     both = pairs.toDF("a", "b")
     edges = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    for _ in range(max_rounds):
-        around = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(around, "a").select("a", F.least("label", "near").alias("label"))
-        jump = step.join(step.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left")
-        new = cut(jump.select("a", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = new.join(labels.select("a", F.col("label").alias("old")), "a").filter("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
     links = edges.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    known = labels.join(links, "a")
+    known = components(edges).join(links, "a")
     ids = df.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
     out = ids.join(known, F.col("id") == F.col("a"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -58,6 +58,24 @@ def test_similar_cases(spark):
         S.similar_pairs(d.withColumn("concept_id", F.col("concept_id").cast("string")))
 
 
+def test_groups_of_long_chains_are_whole(spark):
+    """Successive edits, with the least id at the far end: each record is like the next one alone."""
+    words = [f"x{k}" for k in range(1_100)]
+    rows = [((k + 1) % 120, None, " ".join(words[8 * k : 8 * k + 60])) for k in range(120)]
+    d = spark.createDataFrame(rows, "concept_id long, title string, content string")
+    groups = S.similar_groups(d, n=3, threshold=0.6).collect()
+    assert len(groups) == 120 and {x.group_id for x in groups} == {0} and sorted(x.links for x in groups) == [1, 1] + [2] * 118
+
+
+def test_components_of_shuffled_chains(spark):
+    r = random.Random(6)
+    ids = r.sample(range(5_000), 1_300)
+    chains = [ids[:1_000], ids[1_000:1_200], ids[1_200:]]
+    one_way = [x for c in chains for x in zip(c, c[1:], strict=False)]
+    edges = spark.createDataFrame(one_way + [(b, a) for a, b in one_way], "a long, b long")
+    assert {tuple(x) for x in S.components(edges).collect()} == {(a, min(c)) for c in chains for a in c}
+
+
 def test_signatures_bound_from_above():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 2_000, int(r.integers(5, 900))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
