@@ -65,13 +65,19 @@ _URL = re.compile(r"(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 #: A line with neither of these can show no residue; plain substring search keeps most texts from the patterns above.
-_SIGNS = re.compile(r"\(\(\(|\{[\w{% ]|\$[{(]|%[(%A-Zsd]|@@|&&[A-Z]|~[A-Z]|XXXX|#\{|\[(?:INSERT|YOUR|ENTER|insert|your|enter|object)|<(?:%|insert|your|enter|title)|__[A-Z]+_|undefined|NaN|Invalid Date")
-_HINTS = """todo:|todo -|tbd|fixme|asdf|placeholder text|text about|texte sur|body text|sample text|dummy text|filler text|example text|noch ein text|el texto
-un texto|texto |not found|gateway|forbidden|server error|unavailable|unauthorized|too many requests|page not|access denied
+#: Each alternative of PLACEHOLDER needs one of the signs, each of the other patterns one of the hints, filler one of its words.
+_SIGNS = re.compile(r"\(\(\(|\{[\w{% ]|\$[{(]|%[(%A-Zsd]|@@|&&[A-Z_]|~[A-Z]|XXXX|#\{|\[(?:INSERT|YOUR|ENTER|insert|your|enter|object)|<(?:%|insert|your|enter)|__[A-Z]+_|undefined|NaN|Invalid Date|(?:Hello|Dear|Welcome) null")
+_HINTS = """todo|tbd|fixme|asdf|placeholder text|text about|texte sur|body text|sample text|dummy text|filler text|example text|noch ein text|el texto
+un texto|texto |not found|gateway|forbidden|server error|unavailable|unauthorized|too many requests|gone|<title>|page not|access denied
 nicht gefunden|introuvable|no encontrada|went wrong|exist or has moved|looking for|renamed|session has|permission|not be completed|not available
-rate limited|checking your|maintenance|back shortly|page demandée|angeforderte|no se ha|javascript|java script|scripts|noscript|lorem|ipsum|cillum|veniam|velit
-nulla|dolore|consequat|eiusmod|aliqu|laboris|labore|fugiat|elit|nostrud|ullamco|excepteur|irure|duis|voluptate|reprehenderit|occaecat|cupidatat"""
-_HINTS = tuple(dict.fromkeys(_HINTS.replace("\n", "|").split("|")))
+rate limited|checking your|maintenance|back shortly|page demandée|angeforderte|no se ha|java|scripts|run script|support script|noscript"""
+_HINTS = tuple(dict.fromkeys([*_HINTS.replace("\n", "|").split("|"), *sorted(FILLER_ONLY)]))
+
+
+def _low(text: str) -> str:
+    """Lower case, with the letters that patterns without case take for an i or s."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
 
 
 def is_filler(sentence: str) -> bool:
@@ -98,13 +104,13 @@ def evidence(line: str) -> str | None:
 
 def residue_lines(text: str) -> list[tuple[int, str]]:
     """``(line_no, kind)`` of the lines of a text that show residue; code, fenced or inline, has none."""
-    low = text.lower()
+    low = _low(text)
     hints = [w for w in _HINTS if w in low]
     if not hints and not _SIGNS.search(text) or OWN_MESSAGE.search(text):
         return []
     out = []
     for i, line in enumerate(without_code(text).split("\n"), 1):
-        if line and (_SIGNS.search(line) or (hints and any(w in (low := line.lower()) for w in hints))) and (kind := evidence(line)):
+        if line and (_SIGNS.search(line) or (hints and any(w in (low := _low(line)) for w in hints))) and (kind := evidence(line)):
             out.append((i, kind))
     return out
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -230,6 +231,55 @@ def test_evidence():
     assert R.altogether("404 - Page not found\n\nGo to the start page") and not R.altogether("real text " * 50 + "\n\nHello undefined, your x is null.")
 
 
+def test_the_filter_passes_all_that_is_evidence():
+    lines = ["410 Gone", "Hello null", "Dear null,", "Welcome null", "TODO – write this", "TODO-x", "TODO : x", "FIXME: x", "<TITLE>404", "&&_X&&", "Your browser does not support script.", "Turn on java\tscript", "ſomething went wrong on our side", "ACCESS DENİED"]
+    lines += ["Sunt in culpa qui officia deserunt mollit anim id est.", *(f"{w} {w}" for w in sorted(R.FILLER_ONLY)), *(f"Et {w.upper()}" for w in sorted(R.FILLER_ONLY))]
+    for pattern in (R.PLACEHOLDER, R.FILLER, R.ERROR_PAGE, R.SCRIPT):
+        shown = [x for x in samples(pattern) if R.evidence(x)]
+        assert len(shown) >= 8
+        lines += shown
+    assert [x for x in lines if not R.evidence(x)] == []
+    assert [x for x in lines if R.residue_lines("Some text.\n" + x) != [(2, R.evidence(x))]] == []
+
+
+def samples(pattern):
+    """Texts for a pattern in which each of its alternatives is taken at least once."""
+    parser = re._parser
+    letters = {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "4", "CATEGORY_WORD": "x", "CATEGORY_NOT_SPACE": "x", "CATEGORY_NOT_WORD": "-"}
+
+    def one(kind, value):
+        match str(kind):
+            case "LITERAL":
+                return [chr(value)]
+            case "RANGE":
+                return [chr(value[0])]
+            case "CATEGORY":
+                return [letters[str(value)]]
+            case "IN":
+                if str(value[0][0]) == "NEGATE":
+                    return ["x"]
+                return [x for v in value for x in one(*v)]
+            case "ANY" | "NOT_LITERAL":
+                return ["x"]
+            case "BRANCH":
+                return [x for v in value[1] for x in every(v)]
+            case "SUBPATTERN":
+                return every(value[3])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                low, _, inner = value
+                return list(dict.fromkeys(x * n for x in every(inner) for n in (low, max(low, 1))))
+        return [""]  # places and what stands around them
+
+    def every(sequence):
+        out = [""]
+        for kind, value in sequence:
+            own = one(kind, value)
+            out = [a + b for a in out for b in own] if len(out) * len(own) <= 3_000 else [a + own[k % len(own)] for k, a in enumerate(out)]
+        return out
+
+    return sorted(set(every(parser.parse(pattern.pattern, pattern.flags))))
+
+
 def test_residue_rows(spark):
     banner = "Please enable JavaScript for the search box."
     rows = [(i, f"{banner}\nReal text {i}.", f"https://a.example/{i}") for i in range(30)]
