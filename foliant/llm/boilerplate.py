@@ -134,8 +134,8 @@ def template_classes(docs: DataFrame, min_docs: int = 3, min_share: float = 0.00
 
     sums = docs.select("id", "text", "site").filter("text is not null and site is not null").mapInArrow(count, "site string, token long, docs long, head_docs long, vector long")
     sums = sums.groupBy("site", "token").agg(F.sum("docs").alias("docs"), F.sum("head_docs").alias("head_docs"), F.expr("sum(vector % 281474976710656) % 281474976710656").alias("vector"))
-    every = sums = cut(sums.filter(F.col("docs") >= 2))
-    sums = sums.filter(F.col("docs") >= min_docs)
+    every = cut(sums)  # with tokens on one page of a site: of many sites they make the shared classes
+    sums = every.filter(F.col("docs") >= min_docs)
     pages, _ = bounded_broadcast(docs.groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
     sizes = sums.groupBy("site", "docs", "vector").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("token", "head_docs")).alias("members"))
     own = sizes.join(pages, "site").filter(F.col("docs") >= min_share * F.col("pages") * F.when(F.col("size") >= 2, 0.5).otherwise(1.0))

@@ -242,6 +242,13 @@ def test_the_filter_passes_all_that_is_evidence():
     assert [x for x in lines if R.residue_lines("Some text.\n" + x) != [(2, R.evidence(x))]] == []
 
 
+def test_shared_classes_count_sites_of_one_page(spark):
+    notice = "We use cookies to remember your choices."
+    rows = [(k, f"https://h{k}.org/", f"{notice}\n\nText number {'abcdefghijklmnopqrst'[k]} runs on for its page.") for k in range(20)]
+    d = spark.createDataFrame(rows, "concept_id long, resource string, content string").withColumn("title", F.lit(None).cast("string"))
+    assert {tuple(x) for x in B.chrome_rows(d).collect()} == {(k, 1) for k in range(20)}
+
+
 def samples(pattern):
     """Texts for a pattern in which each of its alternatives is taken at least once."""
     parser = re._parser
