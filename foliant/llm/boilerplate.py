@@ -63,6 +63,12 @@ class Line:
     def short(self) -> bool:
         return len(self.shown) <= 160 and not _END.search(self.shown[-8:])
 
+    @property
+    def frame(self) -> list[str]:
+        """The outer words of a short line of text, as a token: what stays where a slot lies within the line."""
+        words = self.shown.lower().split() if self.role == "text" and self.short else []
+        return [_DIGITS.sub("0", f"{words[0]} {words[1]} … {words[-1]}")] if 4 <= len(words) <= 12 else []
+
 
 def role_of(raw: str, bare: str) -> str:
     first = bare[0]
@@ -120,7 +126,7 @@ def template_classes(docs: DataFrame, min_docs: int = 3, min_share: float = 0.00
                     page = xxhash.xxh3_64_intdigest(str(key)) >> 1
                     own: dict[int, bool] = {}
                     for line in parse(text):
-                        for t in line.tokens:
+                        for t in (*line.tokens, *line.frame):
                             w = word(t)
                             own[w] = own.get(w, True) and line.role == "head"
                     for w, head in own.items():
@@ -179,10 +185,10 @@ class Template:
 def chrome_lines(text: str, template: Template, title: str | None = None) -> list[int]:
     """The numbers of the lines that are the template's, or in one of its slots, and not the article's.
 
-    A line belongs to the template if all its tokens do. Template lists nest in it: lines under a template line of
-    their block, rows of links, trails that end in the page's own title, and pairs of a template token with a short
-    one (previous and next). Slots between that hold only short unfinished lines are the template's too; running
-    sentences, headings, lists, tables, formulas and code are the article.
+    A line belongs to the template if all its tokens do. Slots nest in it: short unfinished lines and links are the
+    template's if they, or a line of their run in the block, have a template token; without one they are the
+    article's, whatever their form. So are running sentences, headings, tables, formulas, code and lists that no
+    template line opens; trails that end in the page's own title are not.
     """
     if altogether(text):
         return []
@@ -195,16 +201,19 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
     out: set[int] = set()
     for block in by_block.values():
         opened = False  # a template line has opened a list
+        nested = _nested(block, template)
         for k, x in enumerate(block):
             if x.role in ("head", "own"):
                 opened = False
                 continue
             chrome = False
             if x.role == "link":
-                chrome = True
+                chrome = nested[k]
             elif x.role == "list":
                 chrome = opened or (x.short and _listed(block, k, template))
-            elif x.short or all(template.has(t) for t in x.tokens):
+            elif x.tokens and all(template.has(t) for t in x.tokens):
+                chrome = True
+            elif x.short and nested[k]:
                 chrome = True
             elif len(x.shown) <= 400 and len(x.tokens) > 1 and x.tokens[-1] in (own_title, *own_heads):
                 chrome = True
@@ -217,6 +226,21 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
     return sorted(out)
 
 
+def _nested(block: list[Line], template: Template) -> list[bool]:
+    """For each line of a block whether its run has a line of the template. Headings, an article's own markup and running sentences end a run."""
+    out: list[bool] = []
+    found = False
+    start = 0
+    for k, x in enumerate(block):
+        running = x.role == "text" and not x.short and not all(template.has(t) for t in x.tokens)
+        if x.role in ("head", "own") or running:
+            out += [found] * (k - start) + [False]
+            found, start = False, k + 1
+        elif not found and x.role in ("text", "link"):
+            found = any(template.has(t) for t in (*x.tokens, *x.frame)) or template.menu(x.shown)
+    return out + [found] * (len(block) - start)
+
+
 def _listed(block: list[Line], k: int, template: Template) -> bool:
     """All items of the list around line ``k`` are the template's, and most are no headings of articles."""
     a = b = k

@@ -249,6 +249,16 @@ def test_shared_classes_count_sites_of_one_page(spark):
     assert {tuple(x) for x in B.chrome_rows(d).collect()} == {(k, 1) for k in range(20)}
 
 
+def test_form_alone_makes_no_chrome():
+    empty = B.Template(np.zeros(0, np.int64), np.zeros(0, bool))
+    page = "A caption without an end\n\n[One link](x)\n\nWhat the tool needs\n- a key\n- a value\n\nA paragraph that nobody has closed with a mark"
+    assert B.chrome_lines(page, empty) == []
+    own = B.Template(np.array([B.word(t) for t in ("related pages", "home", "join our … webinar")]), np.zeros(3, bool))
+    assert B.chrome_lines(page, own) == []
+    nested = "Related pages\nOne of a kind\n[Another](y)\n\nJoin our rare cache webinar\n\n" + page
+    assert B.chrome_lines(nested, own) == [1, 2, 3, 5]
+
+
 def samples(pattern):
     """Texts for a pattern in which each of its alternatives is taken at least once."""
     parser = re._parser
