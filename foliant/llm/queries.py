@@ -160,4 +160,4 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p6_groups")
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return similar_groups(table(spark, folder, "concepts"))
+    return similar_groups(table(spark, folder, "concepts"), n=3, threshold=0.6)

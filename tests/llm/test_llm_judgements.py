@@ -68,6 +68,14 @@ def test_groups_of_long_chains_are_whole(spark):
     assert len(groups) == 120 and {x.group_id for x in groups} == {0} and sorted(x.links for x in groups) == [1, 1] + [2] * 118
 
 
+def test_groups_query_takes_the_limits_of_the_pairs(monkeypatch):
+    from foliant.llm import queries as Q
+
+    monkeypatch.setattr(Q, "table", lambda *_: None)
+    monkeypatch.setattr(Q, "similar_groups", lambda _, **o: o)
+    assert Q.QUERIES["p6_groups"](None, "") == {"n": 3, "threshold": 0.6}
+
+
 def test_components_of_shuffled_chains(spark):
     r = random.Random(6)
     ids = r.sample(range(5_000), 1_300)
