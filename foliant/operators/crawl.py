@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import urllib.robotparser
 import xml.etree.ElementTree as ET
 
@@ -52,15 +53,16 @@ def merged_manifest(result: DataFrame, prior: DataFrame) -> DataFrame:
     return prior.join(row.select("url"), "url", "left_anti").select(row.columns).unionByName(row)
 
 
-def discover(edges: DataFrame, entries: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def discover(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Breadth-first order over a stored link table: ``(url, depth, seq)``.
 
     ``edges`` is (src, pos, dst), ``entries`` is (url). Each level is an anti join against what has been met, written
-    to the shared folder; within a level the order is that of the parent, then of the link. Cycles end by themselves.
+    to the shared folder; within a level the order is that of the parent, then of the link. Cycles end by themselves: levels go on
+    until one is empty, at whatever depth.
     """
     level = cut(entries.select("url").distinct().withColumn("depth", F.lit(0)).withColumn("seq", F.row_number().over(_by("url")).cast("long")))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         found = edges.join(level.select(F.col("url").alias("src"), F.col("seq").alias("parent")), "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent", "pos")).alias("at"))
         found = found.join(seen.select("url"), "url", "left_anti")
         base = seen.agg(F.max("seq")).first()[0] or 0

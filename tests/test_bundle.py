@@ -46,6 +46,14 @@ def test_breadth_first(spark):
     assert [(r.url, r.depth) for r in rows] == [("a", 0), ("c", 1), ("b", 1), ("d", 2), ("e", 2)]
 
 
+def test_breadth_first_has_no_cap(spark, monkeypatch):
+    """Any range in the module ends after 2, so a cap on levels would show on a short chain."""
+    monkeypatch.setattr(K, "range", lambda a, b: iter((1, 2)), raising=False)
+    edges = spark.createDataFrame([(f"p{k}", 0, f"p{k + 1}") for k in range(4)], "src string, pos int, dst string")
+    rows = K.discover(edges, spark.createDataFrame([("p0",)], "url string")).collect()
+    assert {(r.url, r.depth) for r in rows} == {(f"p{k}", k) for k in range(5)}
+
+
 def test_sitemaps_and_robots(spark):
     x = "<{0} xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>{1}</{0}>"
     loc = lambda tag, u: f"<{tag}><loc> {u} </loc></{tag}>"
