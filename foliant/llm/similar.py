@@ -1,26 +1,34 @@
-"""Near-duplicate records: size-banded tiles, hashed bitmap signatures, exact intersection."""
+"""Near-duplicate records: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays."""
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.lines import slices, words_of
-from foliant.scale import cut, one_row_per_id
-
-#: Counters of the frequency sketch, and how many go in one row of it.
-COUNTERS, CHUNK = 1 << 23, 1 << 17
-#: 64-bit words of the smallest and the largest signature, and bits for each element of a set.
-LEAST_WORDS, LEVELS, BITS_EACH = 8, 6, 1.5
+from foliant.scale import cut
+
+#: Counters of the frequency sketch for each record, the least and most of them (powers of two), and how many go in one row.
+COUNTERS_EACH, LEAST_COUNTERS, MOST_COUNTERS, CHUNK = 64, 1 << 20, 1 << 25, 1 << 17
+#: Rows of a sketch that are added at once; more go through a tree.
+FAN_IN = 64
+#: 64-bit words of the smallest signature, how often it may double, and bits for each element it stands for.
+LEVELS, BITS_EACH = 10, 1.5
+#: The signatures that go to the tiles stand for one element in so many, by its hash.
+SAMPLE = 3
 #: Rows of pairs that a tile looks at in one step.
 STEP = 1 << 20
+#: Ids that may be broadcast once counted: 8 bytes each.
+MAX_IDS = 2_000_000
 
 
 def shingle_sets(texts: list[list[str]], n: int, known: dict[str, int]) -> list[np.ndarray]:
@@ -55,53 +63,60 @@ def prefix_length(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
-def level_of(size: np.ndarray | int) -> np.ndarray:
-    """Signatures have LEAST_WORDS x 2^level words: enough bits for their set."""
-    need = np.maximum(1.0, np.asarray(size) * BITS_EACH / (64 * LEAST_WORDS))
+def level_of(elements: np.ndarray | int) -> np.ndarray:
+    """Signatures have 2^level words of 64 bits: enough bits for the elements they stand for."""
+    need = np.maximum(1.0, np.asarray(elements) * BITS_EACH / 64)
     return np.minimum(np.ceil(np.log2(need)).astype(np.int64), LEVELS - 1)
 
 
-def signature(elements: np.ndarray) -> np.ndarray:
-    """A set's bitmap: one bit for each element's hash."""
-    bits = 64 * LEAST_WORDS << int(level_of(len(elements)))
+def sampled(elements: np.ndarray) -> np.ndarray:
+    """Which elements the tiles' signatures stand for."""
+    return (elements >> np.uint64(40)) % np.uint64(SAMPLE) == 0
+
+
+def signature(elements: np.ndarray, level: int) -> np.ndarray:
+    """A set's bitmap of 2^level words: one bit for each element's hash."""
+    bits = 64 << level
     flags = np.zeros(bits, bool)
-    flags[((elements >> np.uint64(11)) % np.uint64(bits)).astype(np.int64)] = True
+    flags[((elements >> np.uint64(11)) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags).view(np.uint64)
 
 
 class Signatures:
-    """The bitmaps of a tile's documents. A larger one is folded in halves to stand beside a smaller one."""
+    """Bitmaps of many records. A larger one is folded in halves to stand beside a smaller one."""
 
-    def __init__(self, size: np.ndarray, flat: np.ndarray) -> None:
-        self.level = level_of(size)
-        words = LEAST_WORDS << self.level
-        start = np.concatenate([[0], np.cumsum(words)[:-1]])
+    def __init__(self, level: np.ndarray, flat: np.ndarray) -> None:
+        self.level = level
+        start = np.concatenate([[0], np.cumsum(1 << level)[:-1]]) if len(level) else level
         self.rows, self.at = [], []
         above = None
-        for level in range(LEVELS - 1, -1, -1):
-            width = LEAST_WORDS << level
-            own = np.flatnonzero(self.level >= level)
-            at = np.full(len(size), -1)
-            at[own] = np.arange(len(own))
+        for k in range(LEVELS - 1, -1, -1):
+            width = 1 << k
+            own = np.flatnonzero(level >= k)
+            at = np.full(len(level), -1, np.int32)
+            at[own] = np.arange(len(own), dtype=np.int32)
             rows = np.zeros((len(own), width), np.uint64)
-            exact = own[self.level[own] == level]
+            exact = own[level[own] == k]
             rows[at[exact]] = flat[start[exact][:, None] + np.arange(width)]
             if above is not None:
-                higher = np.flatnonzero(self.level > level)
+                higher = np.flatnonzero(level > k)
                 rows[at[higher]] = above[:, :width] | above[:, width:]
             above = rows
             self.rows.insert(0, rows), self.at.insert(0, at)
 
-    def missing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bits of a's signature that b's lacks: each is at least one element of a that b has not."""
+    def missing(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of a's signature that b's lacks, and the reverse: each is at least one element that the other has not."""
         level = np.minimum(self.level[a], self.level[b])
-        out = np.zeros(len(a), np.int64)
+        out = np.zeros((2, len(a)), np.int64)
         for k in np.unique(level):
             own = np.flatnonzero(level == k)
             for c in range(0, len(own), 1 << 16):
                 i = own[c : c + (1 << 16)]
-                out[i] = np.bitwise_count(self.rows[k][self.at[k][a[i]]] & ~self.rows[k][self.at[k][b[i]]]).sum(axis=1, dtype=np.int64)
-        return out
+                x, y = self.rows[k][self.at[k][a[i]]], self.rows[k][self.at[k][b[i]]]
+                both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+                out[0, i] = np.bitwise_count(x).sum(axis=1, dtype=np.int64) - both
+                out[1, i] = np.bitwise_count(y).sum(axis=1, dtype=np.int64) - both
+        return out[0], out[1]
 
 
 def coded(counts: np.ndarray) -> np.ndarray:
@@ -114,17 +129,19 @@ def coded(counts: np.ndarray) -> np.ndarray:
 COUNT_OF = np.array([*range(128), *(math.ceil(128 * 2 ** (k / 4)) for k in range(128))], np.int64)
 
 
-def tile_pairs(token: np.ndarray, place: np.ndarray, doc: np.ndarray, side: np.ndarray, size: np.ndarray, bits: Signatures, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents of a tile that may reach ``threshold``.
+def tile_pairs(token: np.ndarray, place: np.ndarray, outside: np.ndarray, side: np.ndarray, doc: np.ndarray, size: np.ndarray, bits: Signatures, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of records of a tile that may reach ``threshold``, as places in ``size``.
 
-    Rows are (token, place of the token in its document's order, document); size and bits are the documents'. Within
-    a token, rows are in order of size, so a row's partners are the next ones until the size band ends. A pair passes
-    if what the places leave room for reaches the overlap needed (so at its first common token a similar pair always
-    does), and if bits of one signature that the other lacks leave enough elements in common. ``side`` is 0 for
-    ordinary tokens; in a tile of a split token rows of sides 1 and 2 pair only across.
+    Rows are (token, place of the token in its record's order, how many of the tokens before it the signatures don't
+    stand for, side, record); size and bits are the records'. Within a token rows are in order of size, so a row's
+    partners are the next ones until the size band ends. At the first token that a pair shares, all tokens before it
+    are missing in the other record: those outside the sample are counted, those of the sample show in the bit counts,
+    and both together bound the overlap from above. ``side`` is 0 for ordinary tokens; in a tile of a split token rows
+    of sides 1 and 2 pair only across.
     """
     order = np.lexsort((size[doc], token))
-    token, place, doc, side = token[order], place[order], doc[order], side[order]
+    token, place, outside, side, doc = token[order], place[order], outside[order], side[order], doc[order]
+    own = size[doc]
     n = len(token)
     last = np.searchsorted(token, token, side="right")  # first row of the next token
     left, found = np.arange(n), []
@@ -132,26 +149,23 @@ def tile_pairs(token: np.ndarray, place: np.ndarray, doc: np.ndarray, side: np.n
     while len(left):
         left = left[left + step < last[left]]
         if len(left):  # beyond the size band no later partner can fit
-            left = left[size[doc[left]] >= threshold * size[doc[left + step]] - 1e-9]
+            left = left[own[left] >= threshold * own[left + step] - 1e-9]
         for k in range(0, len(left), STEP):
             i = left[k : k + STEP]
             j = i + step
-            a, b = doc[i], doc[j]
-            need = overlap_needed(size[a], size[b], threshold)
-            room = np.minimum(size[a] - place[i], size[b] - place[j])
-            ok = (room >= need) & (a != b) & ((side[i] == 0) | (side[i] != side[j]))
-            a, b, need = a[ok], b[ok], need[ok]
-            for flip in (False, True):
-                p, q = (b, a) if flip else (a, b)
-                ok = size[p] - bits.missing(p, q) >= need
-                a, b, need = a[ok], b[ok], need[ok]
-            if len(a):
+            need = overlap_needed(own[i], own[j], threshold)
+            ok = np.minimum(own[i] - place[i], own[j] - place[j]) >= need
+            ok &= (side[i] == 0) | (side[i] != side[j])
+            i, j, need = i[ok], j[ok], need[ok]
+            if len(i):
+                a, b = doc[i], doc[j]
+                lost_a, lost_b = bits.missing(a, b)
+                ok = (own[i] - outside[i] - lost_a >= need) & (own[j] - outside[j] - lost_b >= need)
+                a, b = a[ok], b[ok]
                 found.append(np.unique(np.minimum(a, b) * len(size) + np.maximum(a, b)))
         step += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = np.unique(np.concatenate(found))
-    return keys // len(size), keys % len(size)
+    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return (keys // len(size), keys % len(size)) if len(keys) else (keys, keys)
 
 
 def _texts(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -159,58 +173,100 @@ def _texts(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
         raise TypeError("ids must be whole numbers")
     text: Column = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    docs = one_row_per_id(docs, "id")
     low = F.lower("text")
     return docs.withColumn("h1", F.xxhash64(low)).withColumn("h2", F.xxhash64(F.lit(7), low))
 
 
-def _sketch(docs: DataFrame, n: int, min_words: int) -> np.ndarray:
-    """How many documents' sets fall on each of COUNTERS counters, over all documents; its size never grows."""
+def _representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``(id, text)`` of one row for each text, ``(id, rep, copies)`` of the records whose text others have too, and
+    how many records there are. Ids and hashes are shuffled, no texts."""
+    chosen = docs.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.max(F.struct("h1", "h2")).alias("other"))
+    chosen = cut(chosen.select("id", "h.h1", "h.h2", (F.col("h") != F.col("other")).alias("several")))
+    groups = chosen.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copies = cut(chosen.join(groups, ["h1", "h2"]).select("id", "rep", "copies"))
+    special = copies.filter("id <> rep").select("id", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"))
+    special = special.unionByName(chosen.filter("several").join(copies.filter("id <> rep"), "id", "left_anti").select("id", F.col("h1").alias("k1"), F.col("h2").alias("k2")))
+    special = cut(special.withColumn("marked", F.lit(True)))
+    marked = docs.join(F.broadcast(special) if special.count() <= MAX_IDS // 4 else special, "id", "left")
+    return marked.filter("marked is null or (h1 = k1 and h2 = k2)").select("id", "text"), copies, chosen.count()
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(COUNTERS, np.int32), {}
+def _summaries(reps: DataFrame, n: int, min_words: int, counters: int) -> DataFrame:
+    """Of each task its part of the sketch (part, lane, counts), and of each record with words enough (id, size, bits)
+    with the signature of its whole set. Written once; both are read from there."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, known = np.zeros(counters, np.int32), {}
+        names = ["part", "lane", "counts", "id", "size", "bits"]
         for batch in batches:
             for part in slices(batch, "text", 1 << 22):
-                sets = shingle_sets([w for t in part.column(1).to_pylist() if len(w := words_of(t)) >= min_words], n, known)
-                if sets:
-                    at, n_at = np.unique((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
-                    total[at] += n_at.astype(np.int32)
-        parts = coded(total).reshape(-1, CHUNK)
+                split = [words_of(t) for t in part.column(1).to_pylist()]
+                long = [k for k, w in enumerate(split) if len(w) >= max(min_words, n)]
+                if not long:
+                    continue
+                sets = shingle_sets([split[k] for k in long], n, known)
+                at, n_at = np.unique((np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), return_counts=True)
+                total[at] += n_at.astype(np.int32)
+                bits = [signature(x, int(level_of(len(x)))).tobytes() for x in sets]
+                none = pa.nulls(len(long), pa.int32())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(long), pa.binary()), part.column(0).take(pa.array(long)), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary())], names)
+        parts = coded(total).reshape(-1, min(CHUNK, counters))
         rows = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[k].tobytes() for k in rows], pa.binary())], ["part", "counts"])
+        lane = TaskContext.get().partitionId()
+        counts = pa.array([pa.compress(parts[k].tobytes(), "zstd", asbytes=True) for k in rows], pa.binary())
+        none = pa.nulls(len(rows), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([lane] * len(rows), pa.int32()), counts, pa.nulls(len(rows), pa.int64()), none, pa.nulls(len(rows), pa.binary())], names)
+
+    return cut(reps.mapInArrow(summarise, "part int, lane int, counts binary, id long, size int, bits binary"))
+
+
+def _sketch(parts: DataFrame, counters: int) -> np.ndarray:
+    """How many records' sets fall on each counter, as codes; (part, lane, counts) are added in a tree of FAN_IN."""
+    width = min(CHUNK, counters)
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
+        total = np.zeros(width, np.int64)
         for x in table.column("counts"):
-            total += COUNT_OF[np.frombuffer(x.as_py(), np.uint8)]
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([coded(total).tobytes()], pa.binary())})
-
-    rows = docs.select("id", "text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
-    for r in rows:
-        out[r.part] = np.frombuffer(r.counts, np.uint8)
+            total += COUNT_OF[np.frombuffer(pa.decompress(x.as_py(), width, "zstd"), np.uint8)]
+        return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "counts": pa.array([pa.compress(coded(total).tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    lanes = (parts.agg(F.max("lane")).first()[0] or 0) + 1
+    while lanes > 1:
+        parts = parts.withColumn("lane", (F.col("lane") / FAN_IN).cast("int")).groupBy("part", "lane").applyInArrow(add, "part int, lane int, counts binary")
+        lanes = -(-lanes // FAN_IN)
+    out = np.zeros((counters // width, width), np.uint8)
+    for r in parts.collect():
+        out[r.part] = np.frombuffer(pa.decompress(r.counts, width, "zstd"), np.uint8)
     return out.reshape(-1)
 
 
-_TILE = {"bucket": "int", "tokens": "binary", "places": "binary", "docs": "binary", "sides": "binary", "ids": "binary", "sizes": "binary", "bits": "binary"}
+#: The arrays of a tile's row, in their order: those of its tokens, then those of its records.
+_TILE = {"token": np.uint32, "place": np.uint16, "outside": np.uint16, "doc": np.uint16, "id": np.int64, "size": np.uint32, "level": np.uint8, "bits": np.uint64}
+#: Places are cut off here (a lower place leaves more room, so nothing is lost); two bits below it hold the side.
+_MOST_PLACE = (1 << 14) - 1
 
 
-def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, n: int, min_words: int, threshold: float, buckets: int, split: int, known: dict[str, int]) -> pa.RecordBatch | None:
-    """One row for each bucket: the rare tokens that a slice's documents send there, and those documents' signatures."""
-    token, place, doc, kept, sizes, bits = [], [], [], [], [], []
+def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, floor: int, n: int, min_words: int, threshold: float, buckets: int, split: int, known: dict[str, int]) -> pa.RecordBatch | None:
+    """One row for each bucket: the rare tokens that a slice's records send there, and those records' signatures."""
+    token, place, outside, doc, kept, sizes, bits, levels = [], [], [], [], [], [], [], []
     split_texts = [words_of(t) for t in texts]
     long = [k for k, w in enumerate(split_texts) if len(w) >= max(min_words, n)]
+    mask = np.uint64(len(sketch) - 1)
     for key, own in zip([ids[k] for k in long], shingle_sets([split_texts[k] for k in long], n, known), strict=True):
-        seen = sketch[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        seen = sketch[(own & mask).astype(np.int64)]
+        inside = sampled(own)
         first = np.lexsort((own, seen))[: prefix_length(len(own), threshold)]
         at = np.flatnonzero(seen[first] > 1)  # a token counted once has no partner
-        token.append(own[first[at]]), place.append(at), doc.append(np.full(len(at), len(kept)))
-        kept.append(key), sizes.append(len(own)), bits.append(signature(own))
+        before = np.cumsum(~inside[first]) - ~inside[first]
+        token.append(own[first[at]]), place.append(at), outside.append(before[at]), doc.append(np.full(len(at), len(kept)))
+        part = own[inside]
+        level = int(level_of(len(own) / SAMPLE))
+        kept.append(key), sizes.append(len(own)), levels.append(level), bits.append(signature(part, level))
     if not kept:
         return None
-    token, place, doc = np.concatenate(token), np.concatenate(place).astype(np.int32), np.concatenate(doc).astype(np.int32)
-    side = np.zeros(len(token), np.int8)
-    seen = COUNT_OF[sketch[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]]
+    token, place, outside, doc = np.concatenate(token), np.concatenate(place), np.concatenate(outside), np.concatenate(doc)
+    side = np.zeros(len(token), np.int64)
+    seen = COUNT_OF[sketch[(token & mask).astype(np.int64)]] - floor
     if (seen > split).any():  # spread a common token over a grid of tiles
         hot = np.flatnonzero(seen > split)
         rows = [np.flatnonzero(seen <= split)]
@@ -224,40 +280,66 @@ def _emit(ids: list[int], texts: list[str], sketch: np.ndarray, n: int, min_word
             tile = (a * 65536 + b + 1).astype(np.uint64)
             rows.append(hot[on])
             tokens.append((token[hot[on]] ^ tile) * np.uint64(0xC2B2AE3D27D4EB4F))
-            sides.append(np.where(a == b, 0, np.where(mine[on] == a, 1, 2)).astype(np.int8))
+            sides.append(np.where(a == b, 0, np.where(mine[on] == a, 1, 2)))
         rows = np.concatenate(rows)
-        token, side, place, doc = np.concatenate(tokens), np.concatenate(sides), place[rows], doc[rows]
-    to = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        token, side, place, outside, doc = np.concatenate(tokens), np.concatenate(sides), place[rows], outside[rows], doc[rows]
+    token = token * np.uint64(0x9E3779B97F4A7C15)
+    to = ((token >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(buckets), side="right")
-    ids_, sizes_ = np.array(kept, np.int64), np.array(sizes, np.int32)
-    out: dict[str, list] = {k: [] for k in _TILE}
-    start = 0
-    for bucket, end in enumerate(ends.tolist()):
+    place = (np.minimum(place, _MOST_PLACE) << 2 | side).astype(np.uint16)
+    outside = np.minimum(outside, 65535).astype(np.uint16)
+    name = (token >> np.uint64(32)).astype(np.uint32)  # tokens of a bucket that agree here only make candidates
+    ids_, sizes_, levels_ = np.array(kept, np.int64), np.array(sizes, np.uint32), np.array(levels, np.uint8)
+    to = to[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1]) if len(to) else np.zeros(0, np.int64)
+    bucket, data = [], []
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(to)], strict=False):
         rows = order[start:end]
-        start = end
-        if len(rows):
-            docs, local = np.unique(doc[rows], return_inverse=True)
-            values = (token[rows], place[rows], local.astype(np.int32), side[rows], ids_[docs], sizes_[docs], np.concatenate([bits[k] for k in docs]))
-            out["bucket"].append(bucket)
-            for name, v in zip(list(_TILE)[1:], values, strict=True):
-                out[name].append(v.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in list(_TILE)[1:])], list(_TILE))
+        docs, local = np.unique(doc[rows], return_inverse=True)
+        values = (name[rows], place[rows], outside[rows], local.astype(np.uint16), ids_[docs], sizes_[docs], levels_[docs], np.concatenate([bits[k] for k in docs.tolist()]))
+        bucket.append(int(to[start]))
+        data.append(struct.pack("<II", len(rows), len(docs)) + b"".join(v.tobytes() for v in values))
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
 
 def _bucket_pairs(table: pa.Table, threshold: float) -> pa.Table:
-    kinds = {"tokens": np.uint64, "places": np.int32, "docs": np.int32, "sides": np.int8, "ids": np.int64, "sizes": np.int32, "bits": np.uint64}
-    parts: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in _TILE}
     known = 0
-    for row in range(table.num_rows):
-        own = {k: np.frombuffer(table.column(k)[row].as_py(), t) for k, t in kinds.items()}
-        for k, v in own.items():
-            parts[k].append(v + known if k == "docs" else v)
-        known += len(own["ids"])
+    for value in table.column("data"):
+        data = value.as_buffer()
+        rows, docs = struct.unpack_from("<II", data)
+        at = 8
+        for k, kind in _TILE.items():
+            count = rows if k in ("token", "place", "outside", "doc") else docs if k != "bits" else (len(data) - at) // 8
+            x = np.frombuffer(data, kind, count, at)
+            at += x.nbytes
+            parts[k].append(x.astype(np.int64) + known if k == "doc" else x)
+        known += docs
     x = {k: np.concatenate(v) for k, v in parts.items()}
-    a, b = tile_pairs(x["tokens"], x["places"].astype(np.int64), x["docs"].astype(np.int64), x["sides"], x["sizes"].astype(np.int64), Signatures(x["sizes"], x["bits"]), threshold)
-    a, b = x["ids"][a], x["ids"][b]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    size = x["size"].astype(np.int64)
+    a, b = tile_pairs(x["token"], (x["place"] >> 2).astype(np.int64), x["outside"].astype(np.int64), x["place"] & 3, x["doc"], size, Signatures(x["level"].astype(np.int64), x["bits"]), threshold)
+    a, b = x["id"][a], x["id"][b]
+    ok = a != b  # repeated rows of one id
+    return pa.table({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
+
+
+def _bounded(batch: pa.RecordBatch, threshold: float) -> np.ndarray:
+    """Which rows (size_a, bits_a, size_b, bits_b) may reach the threshold by the bits of their whole sets."""
+    sizes = [batch.column(k).to_numpy().astype(np.int64) for k in ("size_a", "size_b")]
+    levels = np.concatenate([level_of(s) for s in sizes])
+    flat = np.frombuffer(b"".join(x for k in ("bits_a", "bits_b") for x in batch.column(k).to_pylist()), np.uint64)
+    n = batch.num_rows
+    lost = Signatures(levels, flat).missing(np.arange(n), np.arange(n, 2 * n))
+    need = overlap_needed(*sizes, threshold)
+    return (sizes[0] - lost[0] >= need) & (sizes[1] - lost[1] >= need)
+
+
+def common_elements(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two ascending arrays without repeats share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
 def similar_pairs(
@@ -267,59 +349,47 @@ def similar_pairs(
     n: int = 5,
     threshold: float = 0.8,
     min_words: int = 50,
-    docs_per_bucket: int = 8_000,
+    docs_per_bucket: int = 20_000,
     split: int = 8_192,
+    least_buckets: int = 12,
+    expand: int = 64,
 ) -> DataFrame:
     """``(id_a, id_b)``, the smaller first: records whose sets of all runs of ``n`` words have a Jaccard similarity of
     ``threshold`` or more.
 
-    Every record's elements are put in one order, rare ones first by a sketch of counts over all records; similar
-    records must share one among their first ones. Those go to hash buckets with the record's size and a bitmap
-    signature. Within a bucket rows of one element lie in order of size and make tiles bounded by the size band; room
-    after the shared place and the bits that one signature lacks bound the overlap from above; what is left is
-    verified by intersecting the sets. An element that more than ``split`` records have is spread over a grid
-    of tiles, so no hot group lands in one task. Nothing is capped or sampled, and no similar pair is lost.
-
-    Defined cases: the columns are joined by a blank, null as empty; records under ``min_words`` words have no
-    partners; repeated rows of an id count once, rows without id not at all; of records with the same text (without
-    case) the one with the least id stands for all, and each other is paired with it alone.
+    A tile holds the records that share one of their rarest elements, in order of size, so that the size band bounds
+    it; similar records always share such an element. Every record goes there with its size, the element's place in
+    its order and a bitmap of a third of its elements, at most once to a bucket of tiles. Bit counts bound the overlap
+    from above; pairs that are left meet the bitmaps of their whole sets, and pairs left then their sets, which are
+    intersected as sorted arrays. An element that more than ``split`` records have is spread over a grid of tiles, so
+    no hot group lands in one task. Nothing is capped or sampled away, and no similar pair is lost.
+
+    Defined cases: the columns are joined by a blank, null as empty; records under ``min_words`` or ``n`` words have no
+    partners; repeated rows of an id count once, rows without id not at all, of several texts of an id the one with
+    the least hash. Of records with the same text (without case) one stands for all in the search. Up to ``expand`` of
+    them take all its links and pair with one another; more are a class: each is paired with its representative, the
+    one of the least id, which has the links.
     """
     docs = _texts(df, id_col, list(columns))
-    total = df.count()
-    buckets = max(12, math.ceil(total / docs_per_bucket))
-    copies = cut(docs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    if copies.count() <= 200_000:
-        copies = F.broadcast(copies)
-    marked = docs.join(copies, ["h1", "h2"], "left")
-    reps = marked.filter("rep is null or rep = id").select("id", "text")
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(reps, n, min_words))
+    reps, copies, total = _representatives(docs)
+    buckets = max(least_buckets, math.ceil(total / docs_per_bucket))
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << math.ceil(math.log2(max(1, total * COUNTERS_EACH)))))
+    made = _summaries(reps, n, min_words, counters)
+    whole = made.filter("id is not null").select("id", "size", "bits").dropDuplicates(["id"])
+    codes = _sketch(made.filter("part is not null").select("part", "lane", "counts"), counters)
+    floor = int(COUNT_OF[np.partition(codes, len(codes) // 2)[len(codes) // 2]])  # what chance puts on a counter
+    sketch = df.sparkSession.sparkContext.broadcast(codes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
-                out = _emit(part.column(0).to_pylist(), part.column(1).to_pylist(), sketch.value, n, min_words, threshold, buckets, split, known)
+            for part in slices(batch, "text", 6_000_000):  # under 2^16 records of 50 words
+                out = _emit(part.column(0).to_pylist(), part.column(1).to_pylist(), sketch.value, floor, n, min_words, threshold, buckets, split, known)
                 if out is not None:
                     yield out
 
-    tiles = reps.mapInArrow(emit, ", ".join(f"{k} {t}" for k, t in _TILE.items()))
-    pairs = tiles.groupBy("bucket").applyInArrow(lambda t: _bucket_pairs(t, threshold), "a long, b long")
-    pairs = cut(pairs.distinct())
-
-    def of(ids: DataFrame, make, schema: str) -> DataFrame:
-        """What ``make`` takes from the set of each record of ``ids``."""
-        wanted = cut(ids.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        if wanted.count() <= 200_000:
-            wanted = F.broadcast(wanted)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, int] = {}
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    sets = shingle_sets([words_of(t) for t in part.column(1).to_pylist()], n, known)
-                    yield pa.RecordBatch.from_arrays([part.column(0), *make(sets)], ["id", *[x.split()[0] for x in schema.split(", ")]])
-
-        return reps.join(wanted, "id", "left_semi").mapInArrow(run, f"id long, {schema}")
+    tiles = reps.mapInArrow(emit, "bucket int, data binary")
+    pairs = tiles.groupBy("bucket").applyInArrow(lambda t: _bucket_pairs(t, threshold), "a long, b long").distinct()
 
     def beside(these: DataFrame, values: DataFrame) -> DataFrame:
         names = [c for c in values.columns if c != "id"]
@@ -328,18 +398,44 @@ def similar_pairs(
             out = out.join(values.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in names)), side)
         return out.select("a", "b", *(f"{c}_{side}" for side in ("a", "b") for c in names))
 
-    full = beside(pairs, of(pairs, lambda sets: [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], "elements array<bigint>"))
-    common = F.size(F.array_intersect("elements_a", "elements_b"))
-    union = F.size("elements_a") + F.size("elements_b") - common
-    found = full.filter(common >= F.lit(threshold) * union - F.lit(1e-9)).select("a", "b")
+    def kept(make) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ok = pa.array(np.flatnonzero(make(batch)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
 
-    def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [k for k, t in enumerate(batch.column(2).to_pylist()) if len(words_of(t)) >= min_words]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
+        return run
 
-    members = marked.filter("rep is not null and rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), "text").mapInArrow(long_enough, "a long, b long")
-    return found.unionByName(members).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
+    near = cut(beside(pairs, whole).mapInArrow(kept(lambda x: _bounded(x, threshold)), "a long, b long"))
+    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = shingle_sets([words_of(t) for t in part.column(1).to_pylist()], n, known)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "elements"])
+
+    full = reps.join(F.broadcast(wanted) if wanted.count() <= MAX_IDS else wanted, "id", "left_semi").mapInArrow(sets, "id long, elements binary")
+
+    def verified(batch: pa.RecordBatch) -> np.ndarray:
+        ok = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            ok.append(common_elements(a, b) >= overlap_needed(len(a), len(b), threshold))
+        return np.array(ok)
+
+    found = beside(near, full).mapInArrow(kept(verified), "a long, b long").distinct()
+    # copies: those of small groups take part in all links, those of large ones are members of their representative
+    copies = copies.join(whole.select(F.col("id").alias("rep")), "rep", "left_semi")
+    small = copies.filter(F.col("copies") <= expand).select("rep", "id")
+    for side in ("a", "b"):
+        found = found.join(small.select(F.col("rep").alias(side), F.col("id").alias("own")), side, "left").withColumn(side, F.coalesce("own", side)).drop("own")
+    within = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "rep").filter("a < b").select("a", "b")
+    members = copies.filter((F.col("copies") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    found = found.select("a", "b").unionByName(within).unionByName(members)
+    return found.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

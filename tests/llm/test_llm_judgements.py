@@ -41,7 +41,8 @@ def edited(r, words, most):
 def test_similar_pairs_are_those_of_brute_force(spark, n, threshold, split):
     r = random.Random(n)
     base = [[r.choice(WORDS) for _ in range(r.randint(45, 160))] for _ in range(25)]
-    rows = [(i, " ".join([*edited(r, r.choice(base), 12 if threshold < 0.7 else 3), f"own{i}"])) for i in range(120)]  # no copies: those are linked to one alone
+    rows = [(i, " ".join([*edited(r, r.choice(base), 12 if threshold < 0.7 else 3), f"own{i // 3 * 3 if i % 9 == 1 else i}"])) for i in range(120)]
+    rows += [(500 + i, rows[i][1].upper()) for i in range(0, 40, 2)]  # copies take part in all links
     d = spark.createDataFrame([(i, None, t) for i, t in rows], "concept_id long, title string, content string")
     got = {tuple(x) for x in S.similar_pairs(d, n=n, threshold=threshold, docs_per_bucket=20, split=split).collect()}
     assert got == brute_pairs(rows, n, threshold, 50) and len(got) > 20
@@ -51,8 +52,9 @@ def test_similar_cases(spark):
     text = " ".join(WORDS)
     d = spark.createDataFrame([(3, "T", text, 1), (1, "t", text.upper(), 1), (1, "t", text.upper(), 1), (2, None, None, 1), (None, "T", text, 1), (4, "T", "short", 1), (5, "T", text + " end", 1)], "concept_id long, title string, content string, id long")
     got = {tuple(x) for x in S.similar_pairs(d).collect()}
-    assert got == {(1, 3), (1, 5)}  # 3 is a copy of 1 and linked to it alone
-    groups = {x.concept_id: (x.group_id, x.links) for x in S.similar_groups(d).collect()}
+    assert got == {(1, 3), (1, 5), (3, 5)}
+    assert {tuple(x) for x in S.similar_pairs(d, expand=1).collect()} == {(1, 3), (1, 5)}  # a member of a large class is linked to its representative
+    groups = {x.concept_id: (x.group_id, x.links) for x in S.similar_groups(d, expand=1).collect()}
     assert groups == {1: (1, 2), 3: (1, 1), 5: (1, 1), 2: (2, 0), 4: (4, 0)}
     assert S.similar_pairs(d.limit(0)).count() == 0 and S.similar_groups(d.limit(0)).count() == 0
     with pytest.raises(TypeError):
@@ -88,12 +90,38 @@ def test_components_of_shuffled_chains(spark):
 def test_signatures_bound_from_above():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 2_000, int(r.integers(5, 900))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
-    sizes = np.array([len(x) for x in sets])
-    bits = S.Signatures(sizes, np.concatenate([S.signature(x) for x in sets]))
     a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
-    missing = bits.missing(a, b)
-    for i, j, m in zip(a, b, missing, strict=True):
-        assert len(np.intersect1d(sets[i], sets[j])) <= sizes[i] - m
+    for parts in (sets, [x[S.sampled(x)] for x in sets]):
+        levels = S.level_of(np.array([len(x) for x in parts]))
+        bits = S.Signatures(levels, np.concatenate([S.signature(x, int(k)) for x, k in zip(parts, levels, strict=True)]))
+        for i, j, lost, lost_b in zip(a, b, *bits.missing(a, b), strict=True):
+            common = len(np.intersect1d(parts[i], parts[j]))
+            assert common <= len(parts[i]) - lost and common <= len(parts[j]) - lost_b and S.common_elements(parts[i], parts[j]) == common
+
+
+def test_what_a_record_sends_is_bounded_at_any_number_of_buckets():
+    """An element sends at most 10 bytes, and with each a bucket its record's id, size and bitmap of a third."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) for _ in range(300)) for _ in range(40)]
+    sketch = np.full(1 << 20, 2, np.uint8)
+    per_record = []
+    for buckets in (12, 100, 1_000, 100_000):
+        out = S._emit(list(range(40)), texts, sketch, 0, 3, 50, 0.6, buckets, 8_192, {})
+        data = out.column("data").to_pylist()
+        per_record.append(sum(len(x) - 8 for x in data) / 40)
+    elements = S.prefix_length(298, 0.6)
+    assert per_record == sorted(per_record) and per_record[-1] <= elements * (10 + 13 + 8 * 2**3)
+
+
+def test_sketches_are_added_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(S, "FAN_IN", 2)
+    docs = spark.createDataFrame([(i, " ".join(WORDS[i % 7 : i % 7 + 52])) for i in range(60)], "id long, text string").repartition(7)
+    made = S._summaries(docs, 3, 50, 1 << 20)
+    codes = S._sketch(made.filter("part is not null").select("part", "lane", "counts"), 1 << 20)
+    want = np.zeros(1 << 20, np.int64)
+    for x in docs.collect():
+        want[(S.shingles(words_of(x.text), 3, {}) & np.uint64((1 << 20) - 1)).astype(np.int64)] += 1
+    assert (codes == S.coded(want)).all() and made.filter("id is not null").count() == 60
 
 
 def test_codes_keep_the_order():
