@@ -238,6 +238,44 @@ def test_the_trees_know_their_table_and_more():
     assert not wrong
 
 
+def test_blocks_are_judged_by_density_and_neighbours():
+    used = {k: t.used() for k, t in M.trees().items()}
+    assert {"html_links", "words"} < used["html"] and used["html"] & {"density_before", "density_after"} and used["latex"] & {"words_before", "words_after"}
+    assert "markdown_links" in used["markdown"] and "wiki_links" in used["wiki"]
+    marks_alone = lambda t: [k for k in M.KINDS if any(M.marks(M.without_code(t), k))]
+    linked = "A long text with [one](/x) link. " + "And many more words follow it here. " * 200
+    menu, prose = "[One](/1)\n[Two](/2)\n[Three](/3)", "The reader takes a page and gives its rows to the writer, which keeps them."
+    assert marks_alone(linked) == [] and M.kinds_of(linked) == ["markdown"]
+    tag = f"{{0}}\n\n<site-bar>\n\n{{0}}"
+    assert "html" in M.kinds_of(tag.format(menu)) and M.kinds_of(tag.format(prose)) == [] and not marks_alone(tag.format(prose))
+    assert "html" not in M.kinds_of(f"{menu}\n\nGive <name> to the command and wait for it.\n\n{menu}")
+    for a, x, b, kinds in M.IN_CONTEXT:
+        row = next(y.row for y in M.blocks(f"{a}\n\n{x}\n\n{b}") if y.text == x)
+        assert [k for k in M.KINDS if M.trees()[k](row)] == kinds.split(), (a, x, b)
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("<ol><li>one</li><li>two</li></ol>", "1. one\n2. two\n"),
+        ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "- a\n  - b\n- c\n"),
+        ("<p>x</p>\n<ol>\n<li>a\n<ol>\n<li>b</li>\n</ol>\n</li>\n</ol>\n\nText", "x\n\n\n1. a\n   1. b\n\nText"),
+        ("<pre><code>a &lt; **b**\n</code></pre>\n<p>c</p>", "\n```\na < **b**\n```\n\nc\n"),
+        ("== H ==\n# one\n# two\n## deep\n* x\n** y", "## H\n1. one\n2. two\n   1. deep\n- x\n  - y"),
+        ("\\begin{enumerate}\n\\item one\n\n\\item two\n\\begin{itemize}\n\\item in\n\\end{itemize}\n\\end{enumerate}\nrest", "1. one\n\n2. two\n   - in\nrest"),
+        ("\\begin{verbatim}\na ** b ** \\textbf{x}\n\\end{verbatim}", "```\na ** b ** \\textbf{x}\n```"),
+        ("So\n\\begin{equation}\nx_1 * y_2 = *z*\n\\label{q}\n\\end{equation}", "So\n$$x_1 * y_2 = *z*$$"),
+        ("\\[\n" + "a_1 +\n" * 30 + "b\n\\]", "$$" + "a_1 +\n" * 30 + "b$$"),
+        ("\\section{A}\n5\\% of \\textbf{b \\emph{c \\textit{d \\underline{e}}}} \\& f", "# A\n5% of b c d e & f"),
+        ("== H ==\n;term\n:its meaning", "## H\nterm\nits meaning"),
+        ("**a** and\n\n# Head\n\n- item", "a and\n\n# Head\n\n- item"),
+    ],
+)
+def test_structure_is_kept(text, clean):
+    assert M.clean_text(text) == clean
+    assert M.clean_text(clean) == clean  # clean text stays as it is
+
+
 def test_clean_text():
     text = "== Head ==\n\nSome '''bold''' [[Page|link]].\n\n<h2 id='a'>Sub</h2>\n\n<ul><li><a href='/x'>X</a></li></ul>\n\n\\section{Third} and \\(x^2\\)\n\n> *quote* `**code**`\n\n```html\n<b>kept</b>\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n&amp; \\*star\\*"
     out = M.clean_text(text)
