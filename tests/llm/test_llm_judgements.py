@@ -266,7 +266,7 @@ def test_blocks_are_judged_by_density_and_neighbours():
         ("\\begin{verbatim}\na ** b ** \\textbf{x}\n\\end{verbatim}", "```\na ** b ** \\textbf{x}\n```"),
         ("So\n\\begin{equation}\nx_1 * y_2 = *z*\n\\label{q}\n\\end{equation}", "So\n$$x_1 * y_2 = *z*$$"),
         ("\\[\n" + "a_1 +\n" * 30 + "b\n\\]", "$$" + "a_1 +\n" * 30 + "b$$"),
-        ("\\section{A}\n5\\% of \\textbf{b \\emph{c \\textit{d \\underline{e}}}} \\& f", "# A\n5% of b c d e & f"),
+        ("\\section{A}\n5\\% of \\textbf{b \\emph{c \\textit{d \\underline{e}}}} \\& f", "## A\n5% of b c d e & f"),
         ("== H ==\n;term\n:its meaning", "## H\nterm\nits meaning"),
         ("**a** and\n\n# Head\n\n- item", "a and\n\n# Head\n\n- item"),
     ],
