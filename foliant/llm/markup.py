@@ -376,8 +376,7 @@ def _from_wiki(t: str, lists: bool = True) -> str:
     t = re.sub(r"^(={2,6})\s*(.*?)\s*\1[ \t\r]*$", lambda m: f"{'#' * len(m.group(1))} {m.group(2)}", t, flags=re.M)
     t = re.sub(r"'{5}(?=\S)(.+?)'{5}|'{3}(?=\S)(.+?)'{3}|'{2}(?=\S)(.+?)'{2}", lambda m: next(g for g in m.groups() if g), t)
     t = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1", t)
-    t = re.sub(r"^\{\|.*\n?|^\|[}-].*\n?", "", t, flags=re.M)
-    t = re.sub(r"^\|\s?(?=\S)", "", t, flags=re.M)
+    t = re.sub(r"^\{\|[^\n]*\n(.*?)(?:^\|\}[^\n]*\n?|\Z)", lambda m: re.sub(r"^[|!]\s?(?=\S)", "", re.sub(r"^\|[-+].*\n?", "", m.group(1), flags=re.M), flags=re.M), t, flags=re.M | re.S)
     return re.sub(r"^[;:]+[ \t]*(?=\S)", "", t, flags=re.M)
 
 
