@@ -97,6 +97,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+@query("p9_edited")
+def p9_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """As p9_found, with up to two words of the 13 changed, added or left out."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), edits=2)
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled(table(spark, folder, "documents"))

@@ -167,18 +167,34 @@ def test_leaks_are_those_of_brute_force(spark):
     assert L.leaked_items(a, b.limit(0)).count() == 0 and L.leaked_items(a.limit(0), b).count() == 0
 
 
-def test_edited_leaks_reach_their_recall(spark):
+@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("kind", ["changed", "added", "left out"])
+def test_edited_leaks_reach_their_recall(spark, edits, kind):
     r = random.Random(8)
-    items = [(i, " ".join(r.choice(WORDS) for _ in range(13))) for i in range(60)]
+    items = [(i, " ".join(r.choice(WORDS) for _ in range(13))) for i in range(200)]
     docs = []
     for i, p in items:
         w = words_of(p)
-        w[r.randrange(13)] = "changed"
-        docs.append((i, " ".join(w)))
+        for k in range(edits):
+            at = r.randrange(len(w))
+            w[at : at + (kind != "added")] = [f"new{k}"] if kind != "left out" else []
+        docs.append((i, " ".join([*r.sample(WORDS, 9), *w, *r.sample(WORDS, 9)])))
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
-    got = {tuple(x) for x in L.leaked_items(a, b, edits=1, samples=4, recall=0.97).collect()}
-    assert sum((i, i) in got for i, _ in items) >= 54
-    assert all(L.edit_distance(words_of(docs[d][1]), words_of(items[i][1]), 1) <= 1 for d, i in got)
+    got = {tuple(x) for x in L.leaked_items(a, b, edits=edits).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 190
+    for d, i in got:
+        own, item = words_of(docs[d][1]), words_of(items[i][1])
+        assert min(L.edits_to_prefix(item, own[k : k + 13 + edits], edits) for k in range(len(own))) <= edits
+
+
+def test_windows_of_an_items_own_size(spark):
+    passage = " ".join(WORDS[:40])
+    docs = [(0, "say " + passage + " end"), (1, " ".join(WORDS[:39])), (2, passage.replace("w20", "other"))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, passage)], "item_id long, passage string")
+    assert sorted(r.doc_id for r in L.leaked_items(a, b, window=None).collect()) == [0]
+    assert sorted(r.doc_id for r in L.leaked_items(a, b, window=None, edits=1).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        L.leaked_items(a, b, window=3, edits=3)
 
 
 # Garbled text
