@@ -112,7 +112,8 @@ class Index:
         by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
             n = min(window, len(words))
-            by_length[n] += [(k, i) for i in range(len(words) - n + 1)] if n else []
+            if n:
+                by_length[n] += [(k, i) for i in range(len(words) - n + 1)]
         #: (n, owner and place of each window, tables); a table is (walk, step, sampled steps, bits, partial tables, signatures, their windows)
         self.parts = []
         for n, windows in sorted(by_length.items()):
