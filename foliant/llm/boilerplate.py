@@ -26,10 +26,17 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ANCHOR = re.compile(r"!?\[([^\[\]]*)\]\([^)]*\)")
 _SPLIT = re.compile(r"[|·•»›→←/>–—]+|[:;,.!?…]+\s+|\s(?:\s+|[-<]\s)")
 _END = re.compile(r"[.!?…:;。！？)\]}>`\"”’»,]\s*$")
+_NEXT = re.compile(r"[.!?…][)\"'”»]*\s+(?=[^\W\d_a-zß-ÿ])|[。！？](?=\w)")
 _DIGITS = re.compile(r"\d+")
 _MARKS = " \t\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…·•–—→←›‹©®👍👎\u200d"
 
 
+#: The name under which the classes of many sites stand.
+SHARED = "*"
+#: Fingerprints of occurrence vectors are sums of page hashes of so many bits.
+_VECTOR = (1 << 47) - 1
+
+
 def visible(line: str) -> str:
     """A line's words without list marker, link and tag syntax and emphasis."""
     if "<" in line:
@@ -61,13 +68,19 @@ class Line:
 
     @property
     def short(self) -> bool:
-        return len(self.shown) <= 160 and not _END.search(self.shown[-8:])
+        """No sentence: the line neither ends with a mark that closes one nor has one inside."""
+        return not _END.search(self.shown[-8:]) and not self.running
 
     @property
-    def frame(self) -> list[str]:
-        """The outer words of a short line of text, as a token: what stays where a slot lies within the line."""
-        words = self.shown.lower().split() if self.role == "text" and self.short else []
-        return [_DIGITS.sub("0", f"{words[0]} {words[1]} … {words[-1]}")] if 4 <= len(words) <= 12 else []
+    def running(self) -> bool:
+        """A sentence ends and another begins within the line."""
+        return _NEXT.search(self.shown) is not None
+
+    @property
+    def words(self) -> list[str]:
+        """The words of an unfinished line of text, where a template's words may stand between slots."""
+        words = _DIGITS.sub("0", self.shown.lower()).split() if self.role == "text" and self.short else []
+        return words if len(words) > 2 else []
 
 
 def role_of(raw: str, bare: str) -> str:
@@ -106,16 +119,44 @@ def word(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) - (1 << 63)
 
 
+def in_line(first: str, other: str) -> int:
+    """A word with its role: the word that begins its line tells one role of it from another."""
+    return word(f"{first}\x1f{other}")
+
+
+def page_tokens(text: str) -> dict[int, tuple[int, bool, int]]:
+    """The tokens of a page: hash to (line role, whether it stands in headings alone, place in its line).
+
+    Tokens are the segments of lines (role 0), and the words of unfinished lines of text, whose role is the hash of the
+    word that begins the line.
+    """
+    own: dict[int, tuple[int, bool, int]] = {}
+    for line in parse(text):
+        head = line.role == "head"
+        for t in line.tokens:
+            w = word(t)
+            own[w] = (0, head and own.get(w, (0, True, 0))[1], 0)
+        words = line.words
+        if words:
+            role = word(words[0])
+            for k, t in enumerate(words):
+                own.setdefault(in_line(words[0], t), (role, False, k))
+    return own
+
+
 def template_classes(docs: DataFrame, min_docs: int = 3, min_share: float = 0.004, shared_docs: int = 10, shared_share: float = 0.0015) -> DataFrame:
-    """``(site, token, docs, head_docs, size)``: the tokens of each site's template.
-
-    ``docs`` has id, text and site. Each page sends each of its tokens once, with a hash of the page; summed by site
-    and token, the sums are fingerprints of occurrence vectors, so tokens that stand on the same pages share them
-    without any page list being kept. Tokens of one fingerprint make an equivalence class; ``size`` counts them. A
-    class is valid if it is on at least ``min_docs`` pages and ``min_share`` of the site's, or, of two tokens and
-    more, on ``min_docs`` pages with half that share. Widgets that many sites use (consent notices, feedback) make the classes of the site
-    ``*``: tokens on ``shared_docs`` pages and ``shared_share`` of all, so at most (tokens a page) / ``shared_share``.
-    Sums are combined in the worker, then before the shuffle.
+    """``(site, token, role, docs, head_docs, size, class, rank)``: the tokens of each site's template.
+
+    ``docs`` has id, text and site. Each page sends each of its tokens once (page_tokens), with a hash of the page;
+    summed by site and token, the sums are fingerprints of occurrence vectors, so tokens that stand on the same pages
+    share them without any page list being kept. Tokens of one role and fingerprint make an equivalence class of
+    ``size`` tokens; ``rank`` is a token's place among them, by its mean place in the line.
+
+    A class of segments is valid on ``min_docs`` pages and ``min_share`` of the site's, or, with two and more, on half
+    that share. A class of words is valid with two and more, on ``shared_docs`` pages and ``min_share``: single words
+    recur by chance, words that always come together in one order don't. Widgets that many sites use (consent notices,
+    feedback) make the classes of the site ``*``: on ``shared_docs`` pages and ``shared_share`` of all, so at most
+    (tokens a page) / ``shared_share`` of them. Sums are combined in the worker, then before the shuffle.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,54 +165,83 @@ def template_classes(docs: DataFrame, min_docs: int = 3, min_share: float = 0.00
                 seen: dict[tuple[str, int], list[int]] = {}
                 for key, text, host in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     page = xxhash.xxh3_64_intdigest(str(key)) >> 1
-                    own: dict[int, bool] = {}
-                    for line in parse(text):
-                        for t in (*line.tokens, *line.frame):
-                            w = word(t)
-                            own[w] = own.get(w, True) and line.role == "head"
-                    for w, head in own.items():
-                        x = seen.setdefault((host, w), [0, 0, 0])
-                        x[0] += 1
-                        x[1] += head
-                        x[2] = (x[2] + page) & 0xFFFFFFFFFFFF
+                    for w, (role, head, place) in page_tokens(text).items():
+                        x = seen.get((host, w))
+                        if x is None:
+                            seen[host, w] = [role, 1, int(head), page & _VECTOR, place]
+                        else:
+                            x[1] += 1
+                            x[2] += head
+                            x[3] = (x[3] + page) & _VECTOR
+                            x[4] += place
                 if seen:
                     keys, sums = list(seen), np.array(list(seen.values()), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), *(pa.array(sums[:, j]) for j in range(3))], ["site", "token", "docs", "head_docs", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), *(pa.array(sums[:, j]) for j in range(5))], ["site", "token", "role", "docs", "head_docs", "vector", "place"])
 
-    sums = docs.select("id", "text", "site").filter("text is not null and site is not null").mapInArrow(count, "site string, token long, docs long, head_docs long, vector long")
-    sums = sums.groupBy("site", "token").agg(F.sum("docs").alias("docs"), F.sum("head_docs").alias("head_docs"), F.expr("sum(vector % 281474976710656) % 281474976710656").alias("vector"))
-    every = cut(sums)  # with tokens on one page of a site: of many sites they make the shared classes
-    sums = every.filter(F.col("docs") >= min_docs)
+    sums = docs.select("id", "text", "site").filter("text is not null and site is not null").mapInArrow(count, "site string, token long, role long, docs long, head_docs long, vector long, place long")
+    total = [F.first("role").alias("role"), *(F.sum(c).alias(c) for c in ("docs", "head_docs", "place")), F.expr(f"sum(vector) & {_VECTOR}").alias("vector")]
+    every = cut(sums.groupBy("site", "token").agg(*total))  # with tokens on one page of a site: of many sites they make the shared classes
     pages, _ = bounded_broadcast(docs.groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
-    sizes = sums.groupBy("site", "docs", "vector").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("token", "head_docs")).alias("members"))
-    own = sizes.join(pages, "site").filter(F.col("docs") >= min_share * F.col("pages") * F.when(F.col("size") >= 2, 0.5).otherwise(1.0))
-    own = own.select("site", "docs", "size", F.explode("members").alias("m")).select("site", "m.token", "docs", "m.head_docs", "size")
-    total = pages.agg(F.sum("pages")).first()[0] or 0
-    shared = every.groupBy("token").agg(F.sum("docs").alias("docs"), F.sum("head_docs").alias("head_docs")).filter(F.col("docs") >= max(shared_docs, shared_share * total))
-    return own.unionByName(shared.select(F.lit(SHARED).alias("site"), "token", "docs", "head_docs", F.lit(1).cast("long").alias("size")))
+    all_pages = pages.agg(F.sum("pages")).first()[0] or 0
+
+    def classes(tokens: DataFrame) -> DataFrame:
+        members = F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("docs")).alias("at"), "token", "head_docs")))
+        found = tokens.groupBy("site", "role", "docs", "vector").agg(members.alias("members")).withColumn("size", F.size("members"))
+        return found.select("site", "role", "docs", F.col("vector").alias("class"), "size", F.posexplode("members").alias("rank", "m")).select("site", "m.token", "role", "docs", "m.head_docs", "size", "class", "rank")
+
+    own = classes(every.filter(F.col("docs") >= min_docs)).join(pages, "site")
+    words = (F.col("role") != 0) & (F.col("size") >= 2) & (F.col("docs") >= shared_docs) & (F.col("docs") >= min_share * F.col("pages"))
+    segments = (F.col("role") == 0) & (F.col("docs") >= min_share * F.col("pages") * F.when(F.col("size") >= 2, 0.5).otherwise(1.0))
+    shared = every.groupBy("token").agg(*total).filter(F.col("docs") >= max(shared_docs, shared_share * all_pages))
+    shared = classes(shared.withColumn("site", F.lit(SHARED))).filter("role = 0 or size >= 2")
+    return own.filter(words | segments).drop("pages").unionByName(shared)
 
 
-#: The name under which the classes of many sites stand.
-SHARED = "*"
 
 
 class Template:
-    """What the extraction needs of a site's classes."""
+    """What the extraction needs of a site's classes. What many sites share is held once, beside each site's own."""
 
-    def __init__(self, tokens: np.ndarray, heads: np.ndarray, shared: Template | None = None) -> None:
-        self.tokens = set(tokens.tolist()) | (shared.tokens if shared else set())
-        self.heads = set(tokens[heads].tolist()) | (shared.heads if shared else set())
+    def __init__(self, rows: list[tuple[int, int, bool, int, int, int]], shared: Template | None = None) -> None:
+        """Rows are (token, role, whether it heads articles, size, class, rank)."""
+        self.shared = shared
+        self.tokens = {t for t, role, *_ in rows if not role}
+        self.heads = {t for t, role, head, *_ in rows if head and not role}
+        self.frames = {t: (size, name, rank) for t, role, _, size, name, rank in rows if role}
 
     def has(self, token: str) -> bool:
-        return word(token) in self.tokens
+        w = word(token)
+        return w in self.tokens or self.shared is not None and w in self.shared.tokens
+
+    def framed(self, line: Line) -> bool:
+        """The line has all words of a class in their order, with slots between them."""
+        words = line.words
+        if not words:
+            return False
+        hashes = [in_line(words[0], x) for x in words]
+        for frames in (self.frames, self.shared.frames if self.shared else {}):
+            ranks: dict[int, list[int]] = {}
+            for h in hashes:
+                if h in frames:
+                    size, name, rank = frames[h]
+                    met = ranks.setdefault(name, [size, 0])
+                    met[1] += rank == met[1]
+            if any(n == size for size, n in ranks.values()):
+                return True
+        return False
+
+    def member(self, line: Line) -> bool:
+        """A token of the line is the template's, or it is a row of such tokens, or has a class of words."""
+        return any(self.has(t) for t in line.tokens) or self.framed(line) or self.menu(line.shown)
 
     def heading(self, token: str) -> bool:
-        return word(token) in self.heads
+        w = word(token)
+        return w in self.heads or self.shared is not None and w in self.shared.heads
 
     def menu(self, shown: str) -> bool:
         """The words of a line are a row of template tokens with nothing between them but blanks."""
         words = shown.lower().split()
-        if not 2 <= len(words) <= 14:
+        if len(words) < 2:
             return False
         at, found = 0, 0
         while at < len(words):
@@ -215,14 +285,14 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
                 chrome = True
             elif x.short and nested[k]:
                 chrome = True
-            elif len(x.shown) <= 400 and len(x.tokens) > 1 and x.tokens[-1] in (own_title, *own_heads):
+            elif not x.running and len(x.tokens) > 1 and x.tokens[-1] in (own_title, *own_heads):
                 chrome = True
             elif template.menu(x.shown):
                 chrome = True
             if chrome:
                 out.add(x.no)
             if x.role == "text":
-                opened = chrome and x.short and len(x.shown) <= 60
+                opened = chrome and x.short
     return sorted(out)
 
 
@@ -237,7 +307,7 @@ def _nested(block: list[Line], template: Template) -> list[bool]:
             out += [found] * (k - start) + [False]
             found, start = False, k + 1
         elif not found and x.role in ("text", "link"):
-            found = any(template.has(t) for t in (*x.tokens, *x.frame)) or template.menu(x.shown)
+            found = template.member(x)
     return out + [found] * (len(block) - start)
 
 
@@ -252,13 +322,38 @@ def _listed(block: list[Line], k: int, template: Template) -> bool:
     return any(not template.heading(t) for t in block[k].tokens) and len(items) > 1 and all(x.tokens and all(template.has(t) for t in x.tokens) for x in items)
 
 
-def _templates(classes: list[tuple[str, int, bool]]) -> dict[str, Template]:
-    by_site: dict[str, list[tuple[int, bool]]] = {}
-    for host, token, head in classes:
-        by_site.setdefault(host, []).append((token, head))
-    make = lambda x, shared=None: Template(np.array([t for t, _ in x], np.int64), np.array([b for _, b in x], bool), shared)
-    shared = make(by_site.pop(SHARED, []))
-    return {SHARED: shared} | {h: make(x, shared) for h, x in by_site.items()}
+class Templates:
+    """The templates of many sites from columns (site, token, role, head, size, class, rank), each made when it is asked for."""
+
+    def __init__(self, sites: list[str], columns: dict[str, np.ndarray]) -> None:
+        order = np.argsort(np.array(sites, dtype=object), kind="stable") if sites else np.zeros(0, np.int64)
+        self.columns = {k: v[order] for k, v in columns.items()}
+        self.span: dict[str, tuple[int, int]] = {}
+        ordered = [sites[k] for k in order]
+        starts = [k for k, x in enumerate(ordered) if not k or ordered[k - 1] != x]
+        for start, end in zip(starts, [*starts[1:], len(ordered)], strict=False):
+            self.span[ordered[start]] = (start, end)
+        self.made: dict[str, Template] = {}
+
+    def _rows(self, site: str) -> list[tuple]:
+        start, end = self.span.get(site, (0, 0))
+        return list(zip(*(self.columns[k][start:end].tolist() for k in ("token", "role", "head", "size", "class", "rank")), strict=True))
+
+    def __getitem__(self, site: str | None) -> Template:
+        if SHARED not in self.made:
+            self.made[SHARED] = Template(self._rows(SHARED))
+        if site is None or site not in self.span:
+            return self.made[SHARED]
+        if site not in self.made:
+            self.made[site] = Template(self._rows(site), self.made[SHARED])
+        return self.made[site]
+
+
+_KINDS = {"token": np.int64, "role": np.int64, "head": np.bool_, "size": np.int64, "class": np.int64, "rank": np.int64}
+
+
+def _templates(table: pa.Table) -> Templates:
+    return Templates(table.column("site").to_pylist(), {k: table.column(k).to_numpy().astype(t) for k, t in _KINDS.items()})
 
 
 def _pages(df: DataFrame, id_col: str, text: str, url: str, title: str | None) -> DataFrame:
@@ -267,6 +362,50 @@ def _pages(df: DataFrame, id_col: str, text: str, url: str, title: str | None) -
     )
 
 
+def _judged(df: DataFrame, judge, schema: T.StructType, id_col: str, text: str, url: str, title: str | None, min_docs: int, min_share: float, max_broadcast_rows: int, pages_per_group: int) -> DataFrame:
+    """What ``judge(rows, templates)`` makes of all rows of ``df``, which have ``_site`` and ``_title`` beside their own columns."""
+    names = dict.fromkeys(x for x in (id_col, text, url, title) if x)
+    found = template_classes(_pages(one_row_per_id(df.select(*names), id_col), id_col, text, url, title), min_docs, min_share)
+    found = cut(found.select("site", "token", "role", (F.col("head_docs") > 0.3 * F.col("docs")).alias("head"), "size", "class", "rank"))
+    rows = df.withColumn("_site", site(F.col(url))).withColumn("_title", F.col(title).cast("string") if title else F.lit(None).cast("string"))
+    if found.count() <= max_broadcast_rows:  # 50 bytes each
+        sent = found.sparkSession.sparkContext.broadcast(_templates(found.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            templates = sent.value
+            for batch in batches:
+                for part in slices(batch, text):
+                    yield judge(part, templates)
+
+        return rows.mapInArrow(run, schema)
+
+    shared = found.sparkSession.sparkContext.broadcast(found.filter(F.col("site") == SHARED).toArrow())  # bounded by its share of all pages
+    rows = rows.withColumn("_of", F.coalesce("_site", F.lit("")))
+    groups = rows.groupBy("_of").agg(F.ceil(F.count(F.lit(1)) / pages_per_group).cast("int").alias("_groups"))
+    left = rows.join(groups, "_of").withColumn("_salt", F.pmod(F.xxhash64(id_col, "_title"), F.col("_groups")).cast("int")).drop("_groups")
+    right = found.filter(F.col("site") != SHARED).join(groups, F.col("site") == F.col("_of")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+
+    def meet(pages: pa.Table, classes: pa.Table) -> pa.Table:
+        if not pages.num_rows:
+            return schema_table(schema)
+        templates = _templates(pa.concat_tables([shared.value, classes.select(shared.value.column_names).cast(shared.value.schema)]))
+        return pa.Table.from_batches([judge(part, templates) for part in pages.drop_columns(["_of", "_salt"]).to_batches()])
+
+    return left.groupBy("_of", "_salt").cogroup(right.groupBy("_of", "_salt")).applyInArrow(meet, schema)
+
+
+def schema_table(schema: T.StructType) -> pa.Table:
+    """No rows of a schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()
+
+
+def _lines(part: pa.RecordBatch, templates: Templates, text: str) -> list[list[int]]:
+    columns = [part.column(k).to_pylist() for k in (text, "_site", "_title")]
+    return [chrome_lines(t, templates[h], name) if t else [] for t, h, name in zip(*columns, strict=True)]
+
+
 def page_chrome(
     df: DataFrame,
     id_col: str = "concept_id",
@@ -282,43 +421,19 @@ def page_chrome(
 
     The template tokens of all sites go to the workers if they are at most ``max_broadcast_rows`` rows; beyond that,
     pages and templates meet in groups of a site's ``pages_per_group`` pages, so a site with a third of all pages is
-    many groups. Pages without a host have no template and are judged by form alone.
+    many groups, and so are the pages without a host. Those have the template that all sites share.
 
-    Defined cases: repeated rows of an id are one page; a null or empty text has no lines; a page that is nothing but
-    residue (error page, placeholder, filler) has none either; extra columns play no part.
+    Defined cases: repeated rows of an id count once for the template and come again here; a null or empty text has no
+    lines; a page that is nothing but residue (error page, placeholder, filler) has none either; extra columns play no
+    part.
     """
-    docs = _pages(one_row_per_id(df.select(*dict.fromkeys(x for x in (id_col, text, url, title) if x)), id_col), id_col, text, url, title)
-    found = template_classes(docs, min_docs, min_share).select("site", "token", (F.col("head_docs") > 0.3 * F.col("docs")).alias("head"))
-    found = cut(found)
-    shared = [(r.site, r.token, r.head) for r in found.filter(F.col("site") == SHARED).collect()]
-    small = found.count() <= max_broadcast_rows
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("lines", T.ArrayType(T.IntegerType()))])
-
-    def judge(part: pa.RecordBatch | pa.Table, by_site: dict[str, Template]) -> list[pa.Array]:
-        columns = [part.column(k).to_pylist() for k in (1, 2, 3)]
-        out = [chrome_lines(t, by_site.get(h, by_site[SHARED]), name) if t else [] for t, h, name in zip(*columns, strict=True)]
-        return [part.column(0), pa.array(out, pa.list_(pa.int32()))]
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("lines", T.ArrayType(T.IntegerType()))])
 
-    if small:
-        rows = found.sparkSession.sparkContext.broadcast([(r.site, r.token, r.head) for r in found.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_site = _templates(rows.value)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    yield pa.RecordBatch.from_arrays(judge(part, by_site), ["id", "lines"])
+    def judge(part: pa.RecordBatch, templates: Templates) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(id_col), pa.array(_lines(part, templates, text), pa.list_(pa.int32()))], ["id", "lines"])
 
-        return docs.mapInArrow(run, schema)
-
-    groups = docs.groupBy("site").agg(F.count(F.lit(1)).alias("n")).select("site", F.ceil(F.col("n") / pages_per_group).cast("int").alias("groups"))
-    left = docs.join(groups, "site", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
-    right = found.filter(F.col("site") != SHARED).join(groups, "site").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-
-    def meet(pages: pa.Table, classes: pa.Table) -> pa.Table:
-        by_site = _templates(shared + list(zip(*(classes.column(k).to_pylist() for k in ("site", "token", "head")), strict=True)))
-        return pa.Table.from_arrays(judge(pages.select(["id", "text", "site", "title"]), by_site), ["id", "lines"])
-
-    return left.groupBy("site", "salt").cogroup(right.groupBy("site", "salt")).applyInArrow(meet, schema)
+    own = df.select(*dict.fromkeys(x for x in (id_col, text, url, title) if x)).withColumn(text, F.col(text).cast("string"))
+    return _judged(own, judge, schema, id_col, text, url, title, min_docs, min_share, max_broadcast_rows, pages_per_group)
 
 
 def chrome_rows(df: DataFrame, id_col: str = "concept_id", **options) -> DataFrame:
@@ -326,11 +441,29 @@ def chrome_rows(df: DataFrame, id_col: str = "concept_id", **options) -> DataFra
     return page_chrome(df, id_col, **options).select(F.col("id").alias(id_col), F.explode("lines").alias("line_no")).distinct()
 
 
-def main_text(df: DataFrame, id_col: str = "concept_id", text: str = "content", **options) -> DataFrame:
-    """All rows and columns of ``df`` with nothing but the main article left in ``text``; null stays null."""
-    if {"_id", "_lines"} & set(df.columns):
-        raise ValueError("columns _id and _lines are taken")
-    lines = page_chrome(df, id_col, text, **options).select(F.col("id").alias("_id"), F.col("lines").alias("_lines"))
-    kept = F.concat_ws("\n", F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_lines"), i + 1)))
-    joined = df.join(lines.filter(F.size("_lines") > 0), F.col(id_col) == F.col("_id"), "left")
-    return joined.withColumn(text, F.when(F.col("_lines").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
+def main_text(
+    df: DataFrame,
+    id_col: str = "concept_id",
+    text: str = "content",
+    url: str = "resource",
+    title: str | None = "title",
+    min_docs: int = 3,
+    min_share: float = 0.004,
+    max_broadcast_rows: int = 500_000,
+    pages_per_group: int = 2_000,
+) -> DataFrame:
+    """All rows and columns of ``df`` with nothing but the main article left in ``text``; null stays null. Texts are
+    read and written in one pass, not shuffled, as long as the templates can be sent out; options as in page_chrome."""
+    if {"_site", "_title", "_of", "_salt", "_groups"} & set(df.columns):
+        raise ValueError("columns _site, _title, _of, _salt and _groups are taken")
+    columns = df.columns
+
+    def judge(part: pa.RecordBatch, templates: Templates) -> pa.RecordBatch:
+        out = []
+        for t, drop in zip(part.column(text).to_pylist(), _lines(part, templates, text), strict=True):
+            gone = set(drop)
+            out.append("\n".join(x for k, x in enumerate(t.split("\n"), 1) if k not in gone) if gone else t)
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part.column(c) for c in columns], columns)
+
+    rows = df.withColumn(text, F.col(text).cast("string"))
+    return _judged(rows, judge, rows.schema, id_col, text, url, title, min_docs, min_share, max_broadcast_rows, pages_per_group)

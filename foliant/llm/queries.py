@@ -15,6 +15,7 @@ from foliant.llm.pieces import oversized, text_pieces
 from foliant.llm.residue import residue, without_residue
 from foliant.llm.repeated import repeated_lines, without_repeated_lines
 from foliant.llm.similar import similar_groups, similar_pairs
+from foliant.scale import one_row_per_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,7 +131,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p2_main")
 def p2_main(spark: SparkSession, folder: str) -> DataFrame:
-    return main_text(table(spark, folder, "concepts")).select("concept_id", "content").distinct()
+    return main_text(one_row_per_id(table(spark, folder, "concepts"), "concept_id")).select("concept_id", "content")
 
 
 def _sources(spark: SparkSession, folder: str) -> list:

@@ -340,15 +340,51 @@ def test_shared_classes_count_sites_of_one_page(spark):
 
 
 def test_form_alone_makes_no_chrome():
-    empty = B.Template(np.zeros(0, np.int64), np.zeros(0, bool))
+    empty = B.Template([])
     page = "A caption without an end\n\n[One link](x)\n\nWhat the tool needs\n- a key\n- a value\n\nA paragraph that nobody has closed with a mark"
     assert B.chrome_lines(page, empty) == []
-    own = B.Template(np.array([B.word(t) for t in ("related pages", "home", "join our … webinar")]), np.zeros(3, bool))
+    frame = [(B.in_line("join", w), B.word("join"), False, 3, 7, k) for k, w in enumerate(("join", "our", "webinar"))]
+    own = B.Template([*((B.word(t), 0, False, 1, 0, 0) for t in ("related pages", "home")), *frame])
     assert B.chrome_lines(page, own) == []
     nested = "Related pages\nOne of a kind\n[Another](y)\n\nJoin our rare cache webinar\n\n" + page
     assert B.chrome_lines(nested, own) == [1, 2, 3, 5]
 
 
+def test_a_class_of_words_needs_all_of_them_in_order():
+    own = B.Template([(B.in_line("subscribe", w), B.word("subscribe"), False, 4, 9, k) for k, w in enumerate(("subscribe", "for", "news", "from"))])
+    line = lambda t: B.parse(t)[0]
+    assert own.framed(line("Subscribe for the latest cache news from Example")) and B.Template([], own).framed(line("Subscribe for x news from y"))
+    assert not any(own.framed(line(t)) for t in ("Subscribe for the latest cache", "Subscribe news for x from y", "Now subscribe for x news from y", "Subscribe for x news from y."))
+
+
+def test_articles_of_short_lines_are_kept(spark):
+    """Verse, commands and names stay; the template around them goes, slots within its lines too."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    rows = []
+    for i in range(60):
+        verse = [f"{word().title()} {word()} {word()} and {word()}" for _ in range(8)]
+        commands = [f"{word()} {word()} --{word()}" for _ in range(4)]
+        names = [f"{word().title()} {word().title()}" for _ in range(4)]
+        article = [*verse[:4], "", *verse[4:], "", *commands, "", *names]
+        rows.append((i, "https://a.example/p", "\n".join(["Home | Blog | Pricing", "", *article, "", f"Subscribe for {word()} news from {word().title()}", "", f"Previous {word()} {word()} Next {word()}", "", "© 2024 Example Works"])))
+    d = spark.createDataFrame(rows, "concept_id long, resource string, content string").withColumn("title", F.lit(None).cast("string"))
+    n = len(rows[0][2].split("\n"))
+    want = {1, n - 4, n - 2, n}
+    for x in B.page_chrome(d).collect():
+        assert set(x.lines) == want, (x.id, x.lines)
+    classes = B.template_classes(B._pages(d, "concept_id", "content", "resource", "title")).filter("role <> 0").collect()
+    ranks = {(x.site, x.token): x["rank"] for x in classes}
+    assert [ranks[B.SHARED, B.in_line("subscribe", w)] for w in ("subscribe", "for", "news", "from")] == [0, 1, 2, 3]
+    assert [ranks["a.example", B.in_line("previous", w)] for w in ("previous", "next")] == [0, 1]
+
+
+def test_pages_without_a_host_are_spread(spark):
+    d = spark.createDataFrame([(k, None, f"Notice of the makers\n\nText {k} runs on for its page, and ends.", None) for k in range(60)], "concept_id long, resource string, content string, title string")
+    assert B.main_text(d, max_broadcast_rows=-1, pages_per_group=7).count() == 60
+    assert B.chrome_rows(d, max_broadcast_rows=-1, pages_per_group=7).count() == B.chrome_rows(d).count()
+
+
 def samples(pattern):
     """Texts for a pattern in which each of its alternatives is taken at least once."""
     parser = re._parser
