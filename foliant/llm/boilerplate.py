@@ -27,6 +27,8 @@ _ANCHOR = re.compile(r"!?\[([^\[\]]*)\]\([^)]*\)")
 _SPLIT = re.compile(r"[|·•»›→←/>–—]+|[:;,.!?…]+\s+|\s(?:\s+|[-<]\s)")
 _END = re.compile(r"[.!?…:;。！？)\]}>`\"”’»,]\s*$")
 _NEXT = re.compile(r"[.!?…][)\"'”»]*\s+(?=[^\W\d_a-zß-ÿ])|[。！？](?=\w)")
+#: What separates the steps of a trail.
+_TRAIL = re.compile(r"[|·•»›→←/>–—]|\s(?:\s|[-<]\s)")
 _DIGITS = re.compile(r"\d+")
 _MARKS = " \t\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…·•–—→←›‹©®👍👎\u200d"
 
@@ -55,10 +57,10 @@ def tokens(shown: str) -> list[str]:
 class Line:
     """A line with its number, block, role (head, list, own, link, text) and visible words."""
 
-    __slots__ = ("no", "block", "role", "shown", "_tokens")
+    __slots__ = ("no", "block", "role", "shown", "_tokens", "_short")
 
     def __init__(self, no: int, block: int, role: str, shown: str) -> None:
-        self.no, self.block, self.role, self.shown, self._tokens = no, block, role, shown, None
+        self.no, self.block, self.role, self.shown, self._tokens, self._short = no, block, role, shown, None, None
 
     @property
     def tokens(self) -> list[str]:
@@ -69,7 +71,23 @@ class Line:
     @property
     def short(self) -> bool:
         """No sentence: the line neither ends with a mark that closes one nor has one inside."""
-        return not _END.search(self.shown[-8:]) and not self.running
+        if self._short is None:
+            self._short = not self.finished and not self.running
+        return self._short
+
+    @property
+    def finished(self) -> bool:
+        return _END.search(self.shown[-8:]) is not None
+
+    @property
+    def first(self) -> str:
+        """The first token alone."""
+        if self._tokens is None:
+            m = _SPLIT.search(self.shown)
+            found = tokens(self.shown[: m.start()]) if m else None
+            if found:
+                return found[0]
+        return self.tokens[0] if self.tokens else ""
 
     @property
     def running(self) -> bool:
@@ -213,6 +231,12 @@ class Template:
         w = word(token)
         return w in self.tokens or self.shared is not None and w in self.shared.tokens
 
+    def whole(self, line: Line) -> bool:
+        """All tokens of the line are the template's, or it is a row of such tokens."""
+        if line.finished and not self.has(line.first):
+            return False  # a paragraph is left at its first segment
+        return bool(line.tokens) and all(self.has(t) for t in line.tokens) or line.short and self.menu(line.shown)
+
     def framed(self, line: Line) -> bool:
         """The line has all words of a class in their order, with slots between them."""
         words = line.words
@@ -281,13 +305,9 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
                 chrome = nested[k]
             elif x.role == "list":
                 chrome = opened or (x.short and _listed(block, k, template))
-            elif x.tokens and all(template.has(t) for t in x.tokens):
-                chrome = True
-            elif x.short and nested[k]:
-                chrome = True
-            elif not x.running and len(x.tokens) > 1 and x.tokens[-1] in (own_title, *own_heads):
+            elif template.whole(x) or (nested[k] and x.short):
                 chrome = True
-            elif template.menu(x.shown):
+            elif _TRAIL.search(x.shown) and x.tokens[-1:] and len(x.tokens) > 1 and (x.tokens[-1] == own_title or x.tokens[-1] in own_heads) and not x.running:
                 chrome = True
             if chrome:
                 out.add(x.no)
@@ -302,7 +322,7 @@ def _nested(block: list[Line], template: Template) -> list[bool]:
     found = False
     start = 0
     for k, x in enumerate(block):
-        running = x.role == "text" and not x.short and not all(template.has(t) for t in x.tokens)
+        running = x.role == "text" and not x.short and not template.whole(x)
         if x.role in ("head", "own") or running:
             out += [found] * (k - start) + [False]
             found, start = False, k + 1
@@ -382,8 +402,9 @@ def _judged(df: DataFrame, judge, schema: T.StructType, id_col: str, text: str,
     shared = found.sparkSession.sparkContext.broadcast(found.filter(F.col("site") == SHARED).toArrow())  # bounded by its share of all pages
     rows = rows.withColumn("_of", F.coalesce("_site", F.lit("")))
     groups = rows.groupBy("_of").agg(F.ceil(F.count(F.lit(1)) / pages_per_group).cast("int").alias("_groups"))
-    left = rows.join(groups, "_of").withColumn("_salt", F.pmod(F.xxhash64(id_col, "_title"), F.col("_groups")).cast("int")).drop("_groups")
-    right = found.filter(F.col("site") != SHARED).join(groups, F.col("site") == F.col("_of")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+    left = rows.join(groups.withColumnRenamed("_of", "_named"), F.col("_of") == F.col("_named")).drop("_named").withColumn("_salt", F.pmod(F.xxhash64(id_col, "_title"), F.col("_groups")).cast("int")).drop("_groups")
+    named = groups.withColumnRenamed("_of", "_named").withColumnRenamed("_groups", "_many")
+    right = found.filter(F.col("site") != SHARED).join(named, F.col("site") == F.col("_named")).withColumnRenamed("_named", "_of").withColumnRenamed("_many", "_groups").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
 
     def meet(pages: pa.Table, classes: pa.Table) -> pa.Table:
         if not pages.num_rows:

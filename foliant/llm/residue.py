@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +15,11 @@ from foliant.llm.markup import without_code
 from foliant.llm.repeated import frequent_lines
 from foliant.scale import bounded_broadcast
 
+try:
+    import ahocorasick
+except ImportError:  # hints are then looked for one by one
+    ahocorasick = None
+
 #: Words of the usual filler text.
 FILLER_WORDS = frozenset(
     """ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore
@@ -67,11 +72,14 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 #: A line with neither of these can show no residue; plain substring search keeps most texts from the patterns above.
 #: Each alternative of PLACEHOLDER needs one of the signs, each of the other patterns one of the hints, filler one of its words.
 _SIGNS = re.compile(r"\(\(\(|\{[\w{% ]|\$[{(]|%[(%A-Zsd]|@@|&&[A-Z_]|~[A-Z]|XXXX|#\{|\[(?:INSERT|YOUR|ENTER|insert|your|enter|object)|<(?:%|insert|your|enter)|__[A-Z]+_|undefined|NaN|Invalid Date|(?:Hello|Dear|Welcome) null")
-_HINTS = """todo|tbd|fixme|asdf|placeholder text|text about|texte sur|body text|sample text|dummy text|filler text|example text|noch ein text|el texto
-un texto|texto |not found|gateway|forbidden|server error|unavailable|unauthorized|too many requests|gone|<title>|page not|access denied
-nicht gefunden|introuvable|no encontrada|went wrong|exist or has moved|looking for|renamed|session has|permission|not be completed|not available
-rate limited|checking your|maintenance|back shortly|page demandée|angeforderte|no se ha|java|scripts|run script|support script|noscript"""
-_HINTS = tuple(dict.fromkeys([*_HINTS.replace("\n", "|").split("|"), *sorted(FILLER_ONLY)]))
+_HINTS = {
+    "filler": "todo|tbd|fixme|asdf|placeholder text|text about|texte sur|body text|sample text|dummy text|filler text|example text|noch ein text|el texto|un texto|texto ".split("|"),
+    "words": sorted(FILLER_ONLY),
+    "script": "java|scripts|run script|support script|noscript".split("|"),
+    "error": """not found|bad gateway|gateway time|forbidden|server error|unavailable|unauthorized|too many requests|gone|<title>|page not|access denied|nicht gefunden
+introuvable|no encontrada|went wrong|exist or has moved|were looking for|been renamed|session has|permission|not be completed|not available|rate limited|checking your
+for maintenance|back shortly|page demandée|angeforderte|no se ha""".replace("\n", "|").split("|"),
+}
 
 
 def _low(text: str) -> str:
@@ -87,31 +95,66 @@ def is_filler(sentence: str) -> bool:
     return len(words) > 1 and known >= 0.7 * len(words) and any(w in FILLER_ONLY for w in words)
 
 
-def evidence(line: str) -> str | None:
-    """What kind of residue a line without code shows, if any."""
+def evidence(line: str, groups: frozenset[str] = frozenset(_HINTS)) -> str | None:
+    """What kind of residue a line without code shows, if any; ``groups`` names the patterns that can match."""
     bare = _URL.sub("URL", line)
     if _SIGNS.search(bare) and PLACEHOLDER.search(bare):
         return "placeholder"
-    for sentence in _SENTENCE.split(bare):
-        if FILLER.search(sentence) or is_filler(sentence):
-            return "filler"
-        if SCRIPT.search(sentence):
-            return "script"
-        if ERROR_PAGE.search(sentence):
-            return "error"
-    return "error" if ERROR_PAGE.search(bare) else None
+    if groups:
+        for sentence in _SENTENCE.split(bare):
+            if "filler" in groups and FILLER.search(sentence) or "words" in groups and is_filler(sentence):
+                return "filler"
+            if "script" in groups and SCRIPT.search(sentence):
+                return "script"
+            if "error" in groups and ERROR_PAGE.search(sentence):
+                return "error"
+    return "error" if "error" in groups and ERROR_PAGE.search(bare) else None
+
+
+@lru_cache(1)
+def _automaton():
+    """Finds all hints in one pass; None without the library."""
+    if ahocorasick is None:
+        return None
+    made = ahocorasick.Automaton()
+    by_word: dict[str, list[str]] = {}
+    for group, words in _HINTS.items():
+        for w in words:
+            by_word.setdefault(w, []).append(group)
+    for w, groups in by_word.items():
+        made.add_word(w, (w, groups))
+    made.make_automaton()
+    return made
+
+
+def _hints_of(low: str) -> dict[str, list[str]]:
+    """The hints that a text in lower case has, by group."""
+    found: dict[str, list[str]] = {}
+    automaton = _automaton()
+    if automaton is None:
+        found = {g: own for g, words in _HINTS.items() if (own := [w for w in words if w in low])}
+    else:
+        for w, groups in {w: g for _, (w, g) in automaton.iter(low)}.items():
+            for g in groups:
+                found.setdefault(g, []).append(w)
+    if "words" in found and FILLER_ONLY.isdisjoint(_WORD.findall(low)):
+        del found["words"]
+    return found
 
 
 def residue_lines(text: str) -> list[tuple[int, str]]:
     """``(line_no, kind)`` of the lines of a text that show residue; code, fenced or inline, has none."""
-    low = _low(text)
-    hints = [w for w in _HINTS if w in low]
-    if not hints and not _SIGNS.search(text) or OWN_MESSAGE.search(text):
+    hints = _hints_of(_low(text))
+    signs = _SIGNS.search(text)
+    if not hints and not signs or OWN_MESSAGE.search(text):
         return []
     out = []
     for i, line in enumerate(without_code(text).split("\n"), 1):
-        if line and (_SIGNS.search(line) or (hints and any(w in (low := _low(line)) for w in hints))) and (kind := evidence(line)):
-            out.append((i, kind))
+        if line:
+            low = _low(line) if hints else line
+            groups = frozenset(g for g, words in hints.items() if any(w in low for w in words))
+            if (groups or signs and _SIGNS.search(line)) and (kind := evidence(line, groups)):
+                out.append((i, kind))
     return out
 
 
