@@ -25,6 +25,8 @@ _LINK = re.compile(r"^\s*(?:(?:[-*+]|\d+[.)])\s+)?(?:\[[^\]]*\]\([^)]*\)|<li>\s*
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ANCHOR = re.compile(r"!?\[([^\[\]]*)\]\([^)]*\)")
 _SPLIT = re.compile(r"[|·•»›→←/>–—]+|[:;,.!?…]+\s+|\s(?:\s+|[-<]\s)")
+#: The same for lines without two white spaces in a row or single dashes.
+_PLAIN_SPLIT = re.compile(r"[|·•»›→←/>–—]+|[:;,.!?…]+\s+")
 _END = re.compile(r"[.!?…:;。！？)\]}>`\"”’»,]\s*$")
 _NEXT = re.compile(r"[.!?…][)\"'”»]*\s+(?=[^\W\d_a-zß-ÿ])|[。！？](?=\w)")
 #: What separates the steps of a trail.
@@ -51,16 +53,17 @@ def visible(line: str) -> str:
 def tokens(shown: str) -> list[str]:
     """The segments of a line between separators, without case, digits and outer marks."""
     flat = _DIGITS.sub("0", shown.lower())
-    return [" ".join(t.split()) if "\t" in t or "\xa0" in t else t for t in (x.strip(_MARKS) for x in _SPLIT.split(flat)) if t]
+    pattern = _SPLIT if "  " in flat or "\t" in flat or "\xa0" in flat or " - " in flat or " < " in flat else _PLAIN_SPLIT
+    return [" ".join(t.split()) if "\t" in t or "\xa0" in t else t for t in (x.strip(_MARKS) for x in pattern.split(flat)) if t]
 
 
 class Line:
     """A line with its number, block, role (head, list, own, link, text) and visible words."""
 
-    __slots__ = ("no", "block", "role", "shown", "_tokens", "_short")
+    __slots__ = ("no", "block", "role", "shown", "_tokens", "_short", "_finished")
 
     def __init__(self, no: int, block: int, role: str, shown: str) -> None:
-        self.no, self.block, self.role, self.shown, self._tokens, self._short = no, block, role, shown, None, None
+        self.no, self.block, self.role, self.shown, self._tokens, self._short, self._finished = no, block, role, shown, None, None, None
 
     @property
     def tokens(self) -> list[str]:
@@ -77,7 +80,9 @@ class Line:
 
     @property
     def finished(self) -> bool:
-        return _END.search(self.shown[-8:]) is not None
+        if self._finished is None:
+            self._finished = _END.search(self.shown[-8:]) is not None
+        return self._finished
 
     @property
     def first(self) -> str:
@@ -295,7 +300,8 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
     out: set[int] = set()
     for block in by_block.values():
         opened = False  # a template line has opened a list
-        nested = _nested(block, template)
+        whole = [x.role == "text" and template.whole(x) for x in block]
+        nested = _nested(block, whole, template)
         for k, x in enumerate(block):
             if x.role in ("head", "own"):
                 opened = False
@@ -305,7 +311,7 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
                 chrome = nested[k]
             elif x.role == "list":
                 chrome = opened or (x.short and _listed(block, k, template))
-            elif template.whole(x) or (nested[k] and x.short):
+            elif whole[k] or (nested[k] and x.short):
                 chrome = True
             elif _TRAIL.search(x.shown) and x.tokens[-1:] and len(x.tokens) > 1 and (x.tokens[-1] == own_title or x.tokens[-1] in own_heads) and not x.running:
                 chrome = True
@@ -316,18 +322,18 @@ def chrome_lines(text: str, template: Template, title: str | None = None) -> lis
     return sorted(out)
 
 
-def _nested(block: list[Line], template: Template) -> list[bool]:
+def _nested(block: list[Line], whole: list[bool], template: Template) -> list[bool]:
     """For each line of a block whether its run has a line of the template. Headings, an article's own markup and running sentences end a run."""
     out: list[bool] = []
     found = False
     start = 0
     for k, x in enumerate(block):
-        running = x.role == "text" and not x.short and not template.whole(x)
+        running = x.role == "text" and not whole[k] and not x.short
         if x.role in ("head", "own") or running:
             out += [found] * (k - start) + [False]
             found, start = False, k + 1
         elif not found and x.role in ("text", "link"):
-            found = template.member(x)
+            found = whole[k] or template.member(x)
     return out + [found] * (len(block) - start)
 
 

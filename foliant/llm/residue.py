@@ -111,6 +111,10 @@ def evidence(line: str, groups: frozenset[str] = frozenset(_HINTS)) -> str | Non
     return "error" if "error" in groups and ERROR_PAGE.search(bare) else None
 
 
+#: What each sign begins with, in lower case.
+_SIGN_HINTS = "((( { ${ $( % @@ && ~ xxxx #{ [insert [your [enter [object <% <insert <your <enter __ undefined nan".split() + ["invalid date", "hello null", "dear null", "welcome null"]
+
+
 @lru_cache(1)
 def _automaton():
     """Finds all hints in one pass; None without the library."""
@@ -118,7 +122,7 @@ def _automaton():
         return None
     made = ahocorasick.Automaton()
     by_word: dict[str, list[str]] = {}
-    for group, words in _HINTS.items():
+    for group, words in [*_HINTS.items(), ("signs", _SIGN_HINTS)]:
         for w in words:
             by_word.setdefault(w, []).append(group)
     for w, groups in by_word.items():
@@ -132,7 +136,7 @@ def _hints_of(low: str) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     automaton = _automaton()
     if automaton is None:
-        found = {g: own for g, words in _HINTS.items() if (own := [w for w in words if w in low])}
+        found = {g: own for g, words in [*_HINTS.items(), ("signs", _SIGN_HINTS)] if (own := [w for w in words if w in low])}
     else:
         for w, groups in {w: g for _, (w, g) in automaton.iter(low)}.items():
             for g in groups:
@@ -142,10 +146,10 @@ def _hints_of(low: str) -> dict[str, list[str]]:
     return found
 
 
-def residue_lines(text: str) -> list[tuple[int, str]]:
-    """``(line_no, kind)`` of the lines of a text that show residue; code, fenced or inline, has none."""
+def _suspects(text: str) -> list[tuple[int, str, frozenset[str]]]:
+    """``(line_no, line, groups)`` of the lines that may show residue."""
     hints = _hints_of(_low(text))
-    signs = _SIGNS.search(text)
+    signs = hints.pop("signs", None) and _SIGNS.search(text)
     if not hints and not signs or OWN_MESSAGE.search(text):
         return []
     out = []
@@ -153,21 +157,29 @@ def residue_lines(text: str) -> list[tuple[int, str]]:
         if line:
             low = _low(line) if hints else line
             groups = frozenset(g for g, words in hints.items() if any(w in low for w in words))
-            if (groups or signs and _SIGNS.search(line)) and (kind := evidence(line, groups)):
-                out.append((i, kind))
+            if groups or signs and _SIGNS.search(line):
+                out.append((i, line, groups))
     return out
 
 
+def residue_lines(text: str) -> list[tuple[int, str]]:
+    """``(line_no, kind)`` of the lines of a text that show residue; code, fenced or inline, has none."""
+    return [(i, kind) for i, line, groups in _suspects(text) if (kind := evidence(line, groups))]
+
+
 def altogether(text: str) -> bool:
     """The text is nothing but residue: most of its words stand in such lines, or it is short and has no article."""
-    hits = residue_lines(text)
-    if not hits:
+    suspects = _suspects(text)
+    if not suspects:
         return False
-    lines = [x for x in text.split("\n") if x.strip()]
     numbered = text.split("\n")
-    words = sum(len(_WORD.findall(x)) for x in lines)
-    own = sum(len(_WORD.findall(numbered[i - 1])) for i, _ in hits)
-    return own >= 0.5 * words or (words <= 40 and len(lines) <= 6)
+    count = lambda lines: len(_WORD.findall("\n".join(lines)))
+    words = count(numbered)
+    small = words <= 40 and sum(1 for x in numbered if x.strip()) <= 6
+    if not small and count(numbered[i - 1] for i, *_ in suspects) < 0.5 * words:
+        return False
+    hits = [i for i, line, groups in suspects if evidence(line, groups)]
+    return bool(hits) and (small or count(numbered[i - 1] for i in hits) >= 0.5 * words)
 
 
 def residue(
