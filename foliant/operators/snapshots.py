@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.scale import bounded_broadcast, bucket_count
+from foliant.scale import bounded_broadcast, bucket_count, cut
 
 KINDS = np.array(["added", "changed", "removed"], dtype=object)
 _DIFF_SCHEMA = "k1 long, k2 long, at_snapshot int, snapshot_no int, change_kind string"
+_WORDS = {"bucket": "int", "k1": "long", "k2": "long", "e": "long", "snap": "int", "at": "long", "has": "boolean", "h1": "long", "h2": "long"}
+#: The time of rows without a readable one.
+_NEVER = -(1 << 63)
+#: Parts of an entity where schedules are too many to be broadcast.
+_SALTS = 32
 _OUTER = r"(?U)^[\s/]+|[\s/]+$"
 
 
@@ -39,19 +46,44 @@ def _compact(df: DataFrame, entity: str, snapshot: str, key: str, value_hash: st
         page.alias("page"),
         F.xxhash64(_some(F.col(entity)), _some(page)).alias("k1"),
         F.xxhash64(_some(page), F.lit(7), _some(F.col(entity))).alias("k2"),
-        F.expr(f"unix_micros(try_cast(`{order}` as timestamp))").alias("at"),
+        F.coalesce(F.expr(f"unix_micros(try_cast(`{order}` as timestamp))"), F.lit(_NEVER)).alias("at"),
         digest.isNotNull().alias("has"),
         F.xxhash64(digest).alias("h1"),
         F.xxhash64(F.lit(7), digest).alias("h2"),
     )
 
 
-def _differences(table: pa.Table) -> pa.Table:
-    """Changes among one bucket's winners, given as flat arrays; every key of the bucket is whole in it."""
-    col = {n: table.column(n).to_numpy() for n in ("k1", "k2", "snap", "prev", "next", "has", "h1", "h2")}
-    order = np.lexsort((col["snap"], col["k2"], col["k1"]))
+def _winners(col: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of several rows of a key in a snapshot the last; ties go to the larger hash. In order of key and snapshot."""
+    order = np.lexsort((col["h2"], col["h1"], col["has"], col["at"], col["snap"], col["k2"], col["k1"]))
     col = {n: a[order] for n, a in col.items()}
-    n = len(order)
+    last = np.ones(len(order), bool)
+    last[:-1] = (col["k1"][1:] != col["k1"][:-1]) | (col["k2"][1:] != col["k2"][:-1]) | (col["snap"][1:] != col["snap"][:-1])
+    return {n: a[last] for n, a in col.items()}
+
+
+def _combined(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A task's rows with one for each key and snapshot, in runs of ``most_rows``."""
+    held, rows = [], 0
+
+    def out() -> pa.RecordBatch:
+        best = _winners({n: np.concatenate([h[n] for h in held]) for n in _WORDS})
+        return pa.RecordBatch.from_arrays([pa.array(best[n]) for n in _WORDS], list(_WORDS))
+
+    for batch in batches:
+        held.append({n: batch.column(n).to_numpy(zero_copy_only=False) for n in _WORDS})
+        rows += batch.num_rows
+        if rows >= most_rows:
+            yield out()
+            held, rows = [], 0
+    if rows:
+        yield out()
+
+
+def _differences(table: pa.Table) -> pa.Table:
+    """Changes among one bucket's rows, given as flat arrays; every key of the bucket is whole in it."""
+    col = _winners({n: table.column(n).to_numpy() for n in ("k1", "k2", "snap", "prev", "next", "at", "has", "h1", "h2")})
+    n = len(col["k1"])
     starts = np.ones(n, bool)
     starts[1:] = (col["k1"][1:] != col["k1"][:-1]) | (col["k2"][1:] != col["k2"][:-1])
     key = np.cumsum(starts) - 1
@@ -93,15 +125,16 @@ def snapshot_changes(
     order: str = "fetched_at",
     rows_per_bucket: int = 250_000,
     max_broadcast_rows: int = 200_000,
+    max_broadcast_changes: int = 1_000_000,
 ) -> DataFrame:
     """Records ``added``, ``removed`` or ``changed`` in each snapshot against the entity's previous one.
 
     Snapshots are non-negative integers; an entity's previous snapshot is the greatest lower number that it has any
     row of, and its first one gives no rows. Each row shrinks to two 64-bit words for its key and two for its hash.
-    Repeated rows of a key in a snapshot are combined before any shuffle, so a key that holds a third of the table
-    costs one row a partition; then keys are spread over hash buckets of about ``rows_per_bucket`` rows, which hold
-    all snapshots of a key, and numpy takes the set differences by sorted search. Names are read again for the
-    differing keys only.
+    Repeated rows of a key in a snapshot are combined in each task, so a key that holds a third of the table costs a
+    row a task and snapshot; then keys are spread over hash buckets of about ``rows_per_bucket`` rows, the one exchange
+    of the search, which hold all snapshots of a key, and numpy takes the set differences by sorted search. Names are
+    read again for the differing keys and their snapshots alone.
 
     Defined cases: of several rows for one key in a snapshot the last by ``order`` wins, one without a (readable)
     time only if no other has one, and ties go to the larger row hash; null and empty hashes are one value unlike any
@@ -117,17 +150,19 @@ def snapshot_changes(
         F.coalesce(F.lag("snap").over(line), F.lit(-1)).alias("prev"),
         F.coalesce(F.lead("snap").over(line), F.lit(-1)).alias("next"),
     )
-    schedule, _ = bounded_broadcast(schedule, max_broadcast_rows)  # beyond the bound: an ordinary join
+    schedule, small = bounded_broadcast(schedule, max_broadcast_rows)
     buckets = bucket_count(df.count(), rows_per_bucket)
-    winners = (
-        rows.withColumn("e", F.xxhash64(_some(F.col("entity"))))
-        .groupBy(F.pmod("k1", F.lit(buckets)).cast("int").alias("bucket"), "k1", "k2", "snap", "e")
-        .agg(F.max(F.struct("at", "has", "h1", "h2")).alias("w"))
-        .join(schedule, (F.col("e") == F.col("entity_word")) & (F.col("snap") == F.col("s")))
-        .select("bucket", "k1", "k2", "snap", "prev", "next", F.col("w.has").alias("has"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
-    )
-    changes = winners.groupBy("bucket").applyInArrow(_differences, _DIFF_SCHEMA)
-    names = rows.groupBy("k1", "k2", "snap").agg(F.first("entity").alias("entity"), F.first("page").alias("page"))
-    return changes.join(names, (changes["k1"] == names["k1"]) & (changes["k2"] == names["k2"]) & (F.col("at_snapshot") == F.col("snap"))).select(
-        F.col("entity").alias(entity), F.col("snapshot_no").alias(snapshot), F.col("page").alias(key), "change_kind"
-    )
+    words = rows.select(F.pmod("k1", F.lit(buckets)).cast("int").alias("bucket"), "k1", "k2", F.xxhash64(_some(F.col("entity"))).alias("e"), "snap", "at", "has", "h1", "h2")
+    words = words.mapInArrow(_combined, ", ".join(f"{n} {t}" for n, t in _WORDS.items()))
+    on = (F.col("e") == F.col("entity_word")) & (F.col("snap") == F.col("s"))
+    if not small:  # an ordinary join, in which a large entity is _SALTS keys
+        words = words.withColumn("salt", F.pmod("k2", F.lit(_SALTS).cast("long")))
+        schedule = schedule.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+        on = on & (F.col("salt") == F.col("of"))
+    rows_of_keys = words.join(schedule, on).select("bucket", "k1", "k2", "snap", "prev", "next", "at", "has", "h1", "h2")
+    changes = cut(rows_of_keys.groupBy("bucket").applyInArrow(_differences, _DIFF_SCHEMA).withColumnRenamed("k1", "c1").withColumnRenamed("k2", "c2"))
+    few = changes.count() <= max_broadcast_changes
+    found = rows.select("entity", "page", "k1", "k2", "snap").join(F.broadcast(changes) if few else changes, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("snap") == F.col("at_snapshot")))
+    # a key may have several rows in a snapshot, and be both changed in it and removed after it
+    found = found.groupBy("k1", "k2", "snap", "snapshot_no", "change_kind").agg(F.first("entity").alias("entity"), F.first("page").alias("page"))
+    return found.select(F.col("entity").alias(entity), F.col("snapshot_no").alias(snapshot), F.col("page").alias(key), "change_kind")

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant import scale
@@ -55,7 +56,16 @@ def test_changes_are_those_of_brute_force(spark):
     for size in (250_000, 20):
         got = S.snapshot_changes(d, rows_per_bucket=size).collect()
         assert len(got) == len(want) and {tuple(x) for x in got} == want
-    assert {tuple(x) for x in S.snapshot_changes(d, max_broadcast_rows=0).collect()} == want
+    assert {tuple(x) for x in S.snapshot_changes(d, max_broadcast_rows=0, max_broadcast_changes=0).collect()} == want
+
+
+def test_a_hot_key_leaves_a_row_a_task(spark):
+    rows = [("a", 1 + k % 2, "hot", f"2025-01-01T00:00:{k % 60:02d}Z", f"h{k}", "x", 1) for k in range(3_000)] + [("a", 2, "new", None, "h", "x", 1)]
+    d = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    assert sorted(tuple(x) for x in S.snapshot_changes(d).collect()) == [("a", 2, "hot", "changed"), ("a", 2, "new", "added")]
+    columns = {"bucket": 0, "k1": 1, "k2": 2, "e": 3, "at": 4, "has": True, "h1": 5, "h2": 6}
+    batch = pa.RecordBatch.from_pydict({n: [columns.get(n, k % 2) for k in range(900)] for n in S._WORDS})
+    assert [b.num_rows for b in S._combined(iter([batch] * 4), most_rows=1_800)] == [2, 2]
 
 
 def test_one_snapshot_and_none(spark):
