@@ -143,8 +143,44 @@ def status_tally(result: DataFrame) -> DataFrame:
     return result.groupBy("status").agg(F.count(F.lit(1)).alias("pages"), F.min("seq").alias("first_seq"))
 
 
-def progress_milestones(result: DataFrame) -> DataFrame:
+def progress_milestones(result: DataFrame, by: tuple[str, ...] = ("tool",)) -> DataFrame:
     """``(tool, done, total)``: after how many pages of a tool a progress line is due, every tenth at most."""
-    sizes = result.groupBy("tool").agg(F.count(F.lit(1)).alias("total"))
+    sizes = result.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     step = X.milestone_step(F.col("total"))
-    return sizes.select("tool", F.explode(F.sequence(step, F.col("total").cast("int"), step)).alias("done"), "total").select("tool", F.col("done").cast("long").alias("done"), "total")
+    return sizes.select(*by, F.explode(F.sequence(step, F.col("total").cast("int"), step)).alias("done"), "total").select(*by, F.col("done").cast("long").alias("done"), "total")
+
+
+def progress_lines(result: DataFrame) -> DataFrame:
+    """``(tool, done, total, line)``: a tool's progress at each milestone and at its end, with its statuses so far.
+
+    Pages are numbered by seq; counts are taken between milestones and then summed up over the few milestones.
+    """
+    last = result.groupBy("tool").agg(F.count(F.lit(1)).alias("done")).select("tool", "done", F.col("done").alias("total"))
+    due = progress_milestones(result).unionByName(last).distinct()
+    at = F.row_number().over(Window.partitionBy("tool").orderBy("seq", "url"))
+    sizes = last.select("tool", "total")
+    step = X.milestone_step(F.col("total"))
+    placed = result.select("tool", "status", at.alias("at")).join(sizes, "tool").select("tool", "status", F.least(F.ceil(F.col("at") / step) * step, F.col("total")).alias("done"))
+    counts = placed.groupBy("tool", "status", "done").agg(F.count(F.lit(1)).alias("n"))
+    names = counts.groupBy("tool", "status").agg(F.min("done").alias("first"))
+    grid = due.join(names, "tool").join(counts, ["tool", "status", "done"], "left")
+    grid = grid.withColumn("so_far", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("tool", "status").orderBy("done")))
+    lines = grid.filter("so_far > 0").groupBy("tool", "done", "total").agg(F.sort_array(F.collect_list(F.struct("first", "status", "so_far"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat(x["so_far"].cast("string"), F.lit(" "), x["status"])), ", ")
+    return lines.select("tool", "done", "total", F.format_string("  [%d/%d] %s", "done", "total", text).alias("line"))
+
+
+def summary_totals(summaries: DataFrame) -> DataFrame:
+    """``(tool, done, failed, candidates)``: pages summarised and failed, and all candidate terms by page path."""
+    done = F.count(F.when(F.col("status") == "summarized", 1))
+    failed = F.count(F.when(F.col("status") == "FAILED", 1))
+    terms = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("candidates").isNotNull(), F.struct("page_path", "candidates")))), lambda x: x["candidates"]))
+    return summaries.groupBy("tool").agg(done.alias("done"), failed.alias("failed"), terms.alias("candidates"))
+
+
+def log_rows(files: DataFrame) -> DataFrame:
+    """``(tool, section, day, seq, line)`` of log files (tool, text): the oldest section is number 1. Sections whose heading is no date are not read."""
+    parts = files.select("tool", F.split("text", r"(?m)^## ", -1).alias("p"))
+    each = parts.select("tool", F.size("p").alias("n"), F.posexplode("p").alias("at", "x")).filter("at > 0")
+    rows = each.select("tool", (F.col("n") - F.col("at")).alias("section"), F.expr("try_cast(substring(x, 1, 10) as date)").alias("day"), F.posexplode(F.filter(F.split("x", "\n", -1), lambda y: F.startswith(y, F.lit("* ")))).alias("seq", "line"))
+    return rows.filter("day is not null").select("tool", "section", "day", (F.col("seq") + 1).alias("seq"), "line")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from foliant.scale import cut
 
@@ -20,13 +21,13 @@ MAX_RETRIES, FIRST_WAIT, BACKOFF = 3, 2.0, 2.0
 
 
 def crawl_status(fetched: DataFrame, prior: DataFrame) -> DataFrame:
-    """``fetched`` (url, http_status, error, content_hash, ...) with ``status`` against ``prior`` (url, content_hash).
+    """``fetched`` (tool, url, http_status, error, content_hash, ...) with ``status`` against ``prior`` (tool, url, content_hash).
 
     The first that holds: FAILED for an error or an answer of 400 and more; skipped for 304 or an equal hash;
     updated if the manifest had the url, error rows included; fetched. A null hash equals none.
     """
-    known = prior.groupBy(F.col("url").alias("p_url")).agg(F.max("content_hash").alias("p_hash"))
-    both = fetched.join(known, F.col("url") == F.col("p_url"), "left")
+    known = prior.groupBy(F.col("tool").alias("p_tool"), F.col("url").alias("p_url")).agg(F.max("content_hash").alias("p_hash"))
+    both = fetched.join(known, F.col("tool").eqNullSafe(F.col("p_tool")) & (F.col("url") == F.col("p_url")), "left")
     failed = F.col("error").isNotNull() | (F.coalesce("http_status", F.lit(0)) >= 400)
     status = (
         F.when(failed, "FAILED")
@@ -34,7 +35,7 @@ def crawl_status(fetched: DataFrame, prior: DataFrame) -> DataFrame:
         .when(F.col("p_url").isNotNull(), "updated")
         .otherwise("fetched")
     )
-    return both.withColumn("status", status).drop("p_url", "p_hash")
+    return both.withColumn("status", status).drop("p_tool", "p_url", "p_hash")
 
 
 def merged_manifest(result: DataFrame, prior: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def merged_manifest(result: DataFrame, prior: DataFrame) -> DataFrame:
         F.when(~ok, F.lit("errored")).alias("status"),
         F.when(~ok, F.coalesce("error", F.format_string("HTTP %d", "http_status"))).alias("error"),
     )
-    return prior.join(row.select("url"), "url", "left_anti").select(row.columns).unionByName(row)
+    return prior.join(row.select("tool", "url"), ["tool", "url"], "left_anti").select(row.columns).unionByName(row)
 
 
 def discover(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -60,23 +61,32 @@ def discover(edges: DataFrame, entries: DataFrame) -> DataFrame:
     to the shared folder; within a level the order is that of the parent, then of the link. Cycles end by themselves: levels go on
     until one is empty, at whatever depth.
     """
-    level = cut(entries.select("url").distinct().withColumn("depth", F.lit(0)).withColumn("seq", F.row_number().over(_by("url")).cast("long")))
+    level = numbered(entries.select("url").distinct().withColumn("depth", F.lit(0)), ["url"], 0)
     seen = level
     for depth in itertools.count(1):
         found = edges.join(level.select(F.col("url").alias("src"), F.col("seq").alias("parent")), "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent", "pos")).alias("at"))
         found = found.join(seen.select("url"), "url", "left_anti")
         base = seen.agg(F.max("seq")).first()[0] or 0
-        level = cut(found.select("url", F.lit(depth).alias("depth"), (F.row_number().over(_by("at.parent", "at.pos", "url")) + F.lit(base)).cast("long").alias("seq")))
+        level = numbered(found.select("url", F.lit(depth).alias("depth"), "at.parent", "at.pos"), ["parent", "pos", "url"], base).drop("parent", "pos")
         if not level.limit(1).count():
             break
         seen = cut(seen.unionByName(level))
     return seen
 
 
-def _by(*columns: str):
-    from pyspark.sql.window import Window
+def numbered(rows: DataFrame, order: list[str], base: int) -> DataFrame:
+    """``rows`` with ``seq``, their place in the order of the columns, from ``base`` + 1 on. Written once.
 
-    return Window.orderBy(*columns)  # one level's urls and numbers only; a level's order is global by definition
+    Rows are sorted in ranges, each range counts its own, and the counts of the ranges before it, one number each, are
+    added; no task holds them all.
+    """
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, sums = {}, 0
+    for r in ranged.groupBy("_range").count().orderBy("_range").collect():
+        before[r["_range"]], sums = sums, sums + r["count"]
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("_range")] if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return cut(ranged.withColumn("seq", (place + offset + F.lit(base)).cast("long")).drop("_range"))
 
 
 def sitemap_locations(xml: str | None) -> tuple[str, list[str]] | None:

@@ -268,14 +268,15 @@ def _current_link(menus: list[Node], url: str) -> tuple[Node, Node] | None:
 
 
 def nav_path(root: Node, url: str) -> list[str]:
-    """The labels above the current page's link in a nav or aside, outermost first, with the link's own last."""
+    """The labels above the current page's link in a nav or aside, outermost first: before each element around the
+    link, up to the menu, the nearest label that stands beside it and has a text."""
     found = _current_link([x for x in root.walk() if x.tag in ("nav", "aside")], url)
     if found is None:
         return []
     menu, link = found
-    out = [link.stripped()] if link.stripped() else []
-    node = link
-    while node is not menu and node.parent is not None:
+    out: list[str] = []
+    node = link.parent
+    while node is not menu and node is not None and node.parent is not None:
         at = node.parent.children.index(node)
         for before in reversed(node.parent.children[:at]):
             if before.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "summary", "strong", "button") and before.stripped():

@@ -11,7 +11,7 @@ from foliant.functions import text as X
 from foliant.functions import urls as U
 from foliant.operators import dom
 from foliant.operators.render import Renderer
-from foliant.scale import cut
+from foliant.scale import bounded_broadcast, cut
 from foliant.sources.frontmatter import frontmatter_text
 
 #: What stands in a rendered body for its n-th link until the link is known.
@@ -76,7 +76,7 @@ def page_links(parsed: DataFrame, scope: tuple[Column, Column] | None = None) ->
 
 
 def link_targets(parsed: DataFrame, manifest: DataFrame, mode: str = "convert") -> DataFrame:
-    """``(tool, url, at, link)``: what stands for each link of each body.
+    """``(tool, url, seq, at, link)``: what stands for each link of each body; a url that came twice has both.
 
     Fragments and other schemes stay; a link to a page of the manifest becomes its relative file and keeps the
     fragment; others become absolute. ``manifest`` has tool, url, page_path, and for ``mode="crawl_order"`` seq and
@@ -98,7 +98,7 @@ def link_targets(parsed: DataFrame, manifest: DataFrame, mode: str = "convert")
     hit = each.join(known, (F.col("tool") == F.col("m_tool")) & (F.col("key") == F.col("m_url")) & when, "left")
     tail = F.when(U.fragment(F.col("resolved")) != "", F.concat(F.lit("#"), U.fragment(F.col("resolved")))).otherwise("")
     link = F.when(F.col("key").isNull(), F.col("href")).when(F.col("m_path").isNotNull(), F.concat(U.relative_md(F.col("m_path"), F.col("page_path")), tail)).otherwise(F.col("resolved"))
-    return hit.select("tool", "url", "at", link.alias("link"))
+    return hit.select("tool", "url", "seq", "at", link.alias("link"))
 
 
 def filled(body: Column, links: Column) -> Column:
@@ -106,7 +106,7 @@ def filled(body: Column, links: Column) -> Column:
     parts = F.split(body, OPEN, -1)
     rest = F.transform(
         F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.concat(F.coalesce(F.get(F.map_values(F.map_filter(links, lambda k, v: k == F.substring_index(p, CLOSE, 1).cast("int"))), F.lit(0)), F.lit("")), F.regexp_replace(p, f"^[^{CLOSE}]*{CLOSE}", "")),
+        lambda p: F.concat(F.coalesce(F.try_element_at(links, F.substring_index(p, CLOSE, 1).cast("int")), F.lit("")), F.regexp_replace(p, f"^[^{CLOSE}]*{CLOSE}", "")),
     )
     return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
@@ -123,16 +123,21 @@ def concepts(
     nav_path, body, md``.
 
     ``pages`` is a pages_table; of several urls on one page path the one with the greatest seq wins. Descriptions and
-    keywords of ``existing`` (tool, page_path, description, keywords) are kept. Parsed pages are written once to the
-    shared folder, since links and bodies are both taken from them.
+    keywords of ``existing`` (tool, page_path, description, keywords) are kept. Which urls lose their path is found by
+    their numbers, before anything is parsed. Parsed pages are written once to the shared folder, since links and
+    bodies are both taken from them.
     """
-    parsed = cut(parsed_pages(pages))
-    links = link_targets(parsed, manifest, mode).groupBy(F.col("tool").alias("l_tool"), F.col("url").alias("l_url")).agg(F.map_from_entries(F.collect_list(F.struct("at", "link"))).alias("links"))
-    done = parsed.join(links, (F.col("tool") == F.col("l_tool")) & (F.col("url") == F.col("l_url")), "left")
+    names = pages.select("tool", "page_path", "seq", "url")
+    best = names.groupBy("tool", "page_path").agg(F.max(F.struct("seq", "url")).alias("w")).select(F.col("tool").alias("w_tool"), F.col("page_path").alias("w_path"), "w.seq", "w.url").toDF("w_tool", "w_path", "w_seq", "w_url")
+    same = F.col("tool").eqNullSafe(F.col("w_tool")) & F.col("page_path").eqNullSafe(F.col("w_path"))
+    wins = F.col("seq").eqNullSafe(F.col("w_seq")) & F.col("url").eqNullSafe(F.col("w_url"))
+    losers, _ = bounded_broadcast(names.join(best, same).filter(~wins).select(F.col("seq").alias("x_seq"), F.col("url").alias("x_url")).distinct())
+    kept = pages.join(losers, F.col("seq").eqNullSafe(F.col("x_seq")) & F.col("url").eqNullSafe(F.col("x_url")), "left_anti")
+    parsed = cut(parsed_pages(kept))
+    links = link_targets(parsed, manifest, mode).groupBy(F.col("tool").alias("l_tool"), F.col("url").alias("l_url"), F.col("seq").alias("l_seq")).agg(F.map_from_entries(F.collect_list(F.struct("at", "link"))).alias("links"))
+    done = parsed.join(links, (F.col("tool") == F.col("l_tool")) & (F.col("url") == F.col("l_url")) & (F.col("seq") == F.col("l_seq")), "left")
     body = F.when(F.col("links").isNull(), F.regexp_replace("body", f"{OPEN}[0-9]+{CLOSE}", "")).otherwise(filled(F.col("body"), F.col("links")))
-    done = done.withColumn("body", body).drop("links", "l_tool", "l_url")
-    best = done.groupBy("tool", "page_path").agg(F.max(F.struct("seq", "url")).alias("w")).select(F.col("tool").alias("w_tool"), F.col("page_path").alias("w_path"), "w.seq", "w.url")
-    done = done.join(best.toDF("w_tool", "w_path", "w_seq", "w_url"), (F.col("tool") == F.col("w_tool")) & (F.col("page_path") == F.col("w_path")) & (F.col("seq") == F.col("w_seq")) & (F.col("url") == F.col("w_url")), "left_semi")
+    done = done.withColumn("body", body).drop("links", "l_tool", "l_url", "l_seq")
     if existing is not None:
         kept = existing.select(F.col("tool").alias("e_tool"), F.col("page_path").alias("e_path"), "description", "keywords")
         done = done.join(kept, (F.col("tool") == F.col("e_tool")) & (F.col("page_path") == F.col("e_path")), "left").drop("e_tool", "e_path")

@@ -96,32 +96,40 @@ def summarised(manifest: DataFrame, concepts: DataFrame, provider: Provider, bat
     return made.unionByName(rest)
 
 
-def glossary(candidates: DataFrame, provider: Provider, filled: list[str] | None = None, per_call: int = 500) -> DataFrame:
+def glossary(candidates: DataFrame, provider: Provider, filled: list[str] | None = None, per_call: int = 500, tools: DataFrame | None = None) -> DataFrame:
     """``(tool, path, text)`` of each tool's glossary: terms without repeats, defined by the provider.
 
     ``filled`` names tools whose glossary has entries: where the provider gives none, they keep their file (no row).
-    Replies may be fenced or cut off. A provider's exception counts as no entries. Terms go out ``per_call`` at a
-    time, so no call grows with the bundle.
+    ``tools`` (tool) adds tools that have no terms; the provider is asked for them too. Replies may be fenced or cut
+    off. A provider's exception counts as no entries. A tool's terms go out in groups of about ``per_call``, so calls
+    run beside each other and none grows with the bundle; of two definitions of a term the lesser one counts.
     """
-    terms = glossary_terms(candidates)
-    keep = set(filled or [])
+    terms = glossary_terms(candidates).select("tool", "seq", "term")
+    sizes = terms.groupBy("tool").agg(F.ceil(F.count(F.lit(1)) / per_call).alias("_groups"))
+    terms = terms.join(sizes, "tool").withColumn("_group", F.pmod(F.xxhash64("term"), F.col("_groups"))).drop("_groups")
+    if tools is not None:
+        none = tools.select("tool").distinct().join(sizes, "tool", "left_anti")
+        terms = terms.unionByName(none.select("tool", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("_group")))
 
     def define(part: pd.DataFrame) -> pd.DataFrame:
-        tool, entries = part.tool.iloc[0], {}
-        words = part.sort_values("seq").term.tolist()
-        for k in range(0, len(words), per_call):
+        tool = part.tool.iloc[0]
+        words = part[part.term.notna()].sort_values("seq").term.tolist()
+        rows = [(tool, None, None)]
+        for k in range(0, max(1, len(words)), per_call):
             try:
                 reply = provider("Define these terms as a JSON array of term and definition:\n" + "\n".join(words[k : k + per_call]))
             except Exception:  # noqa: BLE001
                 continue
             text = reply.strip()
             text = text.split("\n", 1)[-1] if text.startswith("```") else text
-            for e in salvaged(text.removesuffix("```").strip()):
-                if isinstance(e, dict) and e.get("term") and e.get("definition"):
-                    entries.setdefault(str(e["term"]), str(e["definition"]))
-        if not entries and tool in keep:
-            return pd.DataFrame([], columns=["tool", "path", "text"])
-        body = "".join(f"**{t}**: {d}\n\n" for t, d in sorted(entries.items(), key=lambda x: x[0].lower()))
-        return pd.DataFrame([(tool, "glossary.md", f"---\ntype: Glossary\ntitle: {tool} Glossary\n---\n\n# {tool} Glossary\n\n{body}")], columns=["tool", "path", "text"])
-
-    return terms.groupBy("tool").applyInPandas(define, "tool string, path string, text string")
+            rows += [(tool, str(e["term"]), str(e["definition"])) for e in salvaged(text.removesuffix("```").strip()) if isinstance(e, dict) and e.get("term") and e.get("definition")]
+        return pd.DataFrame(rows, columns=["tool", "term", "definition"])
+
+    made = terms.groupBy("tool", "_group").applyInPandas(define, "tool string, term string, definition string")
+    made = made.groupBy("tool", "term").agg(F.min("definition").alias("definition"))
+    lists = made.groupBy("tool").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct(F.lower("term").alias("k"), "term", "definition")))).alias("l"))
+    if filled:
+        lists = lists.filter((F.size("l") > 0) | ~F.col("tool").isin(list(filled)))
+    body = F.array_join(F.transform("l", lambda e: F.concat(F.lit("**"), e["term"], F.lit("**: "), e["definition"], F.lit("\n\n"))), "")
+    name = F.concat("tool", F.lit(" Glossary"))
+    return lists.select("tool", F.lit("glossary.md").alias("path"), F.concat(F.lit("---\ntype: Glossary\ntitle: "), name, F.lit("\n---\n\n# "), name, F.lit("\n\n"), body).alias("text"))

@@ -1,4 +1,5 @@
-"""Bundles, caches and manifests on a file system that all executors share."""
+"""Bundles, caches and manifests as files on a file system that the driver and all executors mount (state on object
+stores goes through Parquet: write_bundles)."""
 
 from __future__ import annotations
 
@@ -75,12 +76,14 @@ def write_manifests(manifest: DataFrame, base: str = ".") -> None:
 
     def put(rows) -> None:
         for r in rows:
-            _place(Path(manifest_path(r.tool, base)), json.dumps(json.loads(r.json), indent=2, ensure_ascii=False))
+            place(Path(manifest_path(r.tool, base)), json.dumps(json.loads(r.json), indent=2, ensure_ascii=False))
 
     manifest_json(manifest).foreachPartition(put)
 
 
-def _place(path: Path, text: str) -> None:
+def place(path: str | Path, text: str) -> None:
+    """Write a file under another name, then put it in place."""
+    path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(f".{path.name}.{os.getpid()}.part")
     part.write_text(text, encoding="utf-8")
@@ -94,7 +97,7 @@ def export_files(files: DataFrame, base: str = ".") -> None:
 
     def put(rows) -> None:
         for r in rows:
-            _place(Path(bundle_dir(r.tool, base)) / r.path, r.text or "")
+            place(Path(bundle_dir(r.tool, base)) / r.path, r.text or "")
 
     files.select("tool", "path", "text").foreachPartition(put)
 
@@ -104,7 +107,7 @@ def export_raw(pages: DataFrame, base: str = ".") -> None:
 
     def put(rows) -> None:
         for r in rows:
-            _place(Path(cache_dir(r.tool, base)) / "raw" / f"{r.page_path}.html", r.html or "")
+            place(Path(cache_dir(r.tool, base)) / "raw" / f"{r.page_path}.html", r.html or "")
 
     if pages.filter(unsafe_path(F.col("page_path"))).limit(1).count():
         raise ValueError("a path leaves its cache")

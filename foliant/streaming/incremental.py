@@ -22,7 +22,7 @@ def merge_batch(batch: DataFrame, folder: str, run_ts: str) -> None:
     spark = batch.sparkSession
     state = os.path.join(folder, "manifest")
     if os.path.exists(state):
-        prior = spark.read.parquet(state).groupBy("url").agg(F.max_by(F.struct("tool", "page_path", "content_hash"), "batch_ts").alias("m")).select("url", "m.*")
+        prior = spark.read.parquet(state).groupBy("tool", "url").agg(F.max_by(F.struct("page_path", "content_hash"), "batch_ts").alias("m")).select("tool", "url", "m.*")
     else:
         prior = spark.createDataFrame([], "url string, tool string, page_path string, content_hash string")
     pages = pages_table(batch).join(batch.select("seq", "http_status", "error"), "seq")

@@ -1,3 +1,4 @@
+import io
 import datetime
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from foliant.operators import bundle as B
 from foliant.operators import conformance as C
 from foliant.operators import crawl as K
 from foliant.plans.summaries import glossary, salvaged, summarised
-from foliant.progress import Progress
+from foliant.progress import Console
 from foliant.sources import files as S
 from foliant.sources.frontmatter import merged_text, with_frontmatter
 
@@ -151,13 +152,52 @@ def test_files_round_trip(spark, tmp_path):
         pass
 
 
-def test_progress(capsys):
-    p = Progress()
-    p.start("Pages", 20)
-    for k in range(20):
-        p.item("FAILED" if k == 3 else "fetched", f"p{k}", "why" if k == 3 else None)
-    p.done()
+def test_progress(spark, capsys):
+    rows = [("t", f"u{k}", k, "FAILED" if k == 3 else "fetched", "why" if k == 3 else None) for k in range(23)]
+    result = spark.createDataFrame(rows, "tool string, url string, seq long, status string, error string")
+    lines = {r.done: r.line for r in B.progress_lines(result).collect()}
+    assert sorted(lines) == [*range(2, 23, 2), 23] and lines[4] == "  [4/23] 3 fetched, 1 FAILED" and lines[23] == "  [23/23] 22 fetched, 1 FAILED"
+    Console().stage("Pages", result)
     err = capsys.readouterr().err
-    assert err.count("/20") >= 9 and "FAILED p3 (why)" in err and "Pages: 20 done — 19 fetched, 1 FAILED" in err
-    Progress(enabled=False).banner("x")
-    assert capsys.readouterr().err == ""
+    assert err.count("/23]") == 12 and "  FAILED u3: why" in err and err.startswith("Pages: 23 pages\n") and err.endswith("Pages: 23 done — 22 fetched, 1 FAILED\n")
+    Console(enabled=False).stage("Pages", result)
+    Console().stage("None", result.limit(0))
+    assert capsys.readouterr().err == "None…\nNone: 0 done — \n"
+
+
+class Terminal(io.StringIO):
+    def isatty(self):
+        return True
+
+
+def test_the_step_under_way_is_replaced_on_a_terminal():
+    for stream, want in ((Terminal(), "\r\x1b[K  reading…\r\x1b[Kdone\n"), (io.StringIO(), "done\n")):
+        c = Console(stream)
+        c.begin("reading")
+        c.banner("done")
+        assert stream.getvalue() == want
+
+
+def test_summary_totals(spark):
+    d = spark.createDataFrame([("t", "b", "summarized", ["x", "y"]), ("t", "a", "summarized", ["z"]), ("t", "c", "FAILED", None), ("t", "d", "skipped", None)], "tool string, page_path string, status string, candidates array<string>")
+    assert [tuple(r) for r in B.summary_totals(d).collect()] == [("t", 2, 1, ["z", "x", "y"])]
+
+
+def test_log_is_read_back(spark):
+    text = "# Update Log\n\n## 2025-01-03\n\n* **Creation**: [A](./a.md)\n* **Update**: [B](./b.md)\n\n## 2025-01-01\n\n* **Creation**: [B](./b.md)\n"
+    log = B.log_rows(spark.createDataFrame([("t", text)], "tool string, text string"))
+    assert B.log_files(log).first().text == text
+
+
+def test_one_url_of_two_tools(spark):
+    prior = spark.createDataFrame([("t2", "u", "h")], "tool string, url string, content_hash string")
+    cols = "tool string, url string, seq long, page_path string, http_status int, error string, content_hash string"
+    run = spark.createDataFrame([("t1", "u", 1, "p", 200, None, "h"), ("t2", "u", 2, "p", 200, None, "h")], cols)
+    assert {r.tool: r.status for r in K.crawl_status(run, prior).collect()} == {"t1": "fetched", "t2": "skipped"}
+
+
+def test_wide_levels_keep_their_order(spark):
+    edges = spark.createDataFrame([("root", k, f"n{(k * 37) % 500:03d}") for k in range(500)] + [(f"n{k:03d}", 0, f"m{k:03d}") for k in range(0, 500, 7)], "src string, pos int, dst string").repartition(6)
+    rows = K.discover(edges, spark.createDataFrame([("root",)], "url string")).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(1, len(rows) + 1)) and [r.url for r in rows[1:501]] == [f"n{(k * 37) % 500:03d}" for k in range(500)]
+    assert [r.url for r in rows[501:]] == [f"m{(k * 37) % 500:03d}" for k in range(500) if (k * 37) % 500 % 7 == 0]

@@ -55,9 +55,13 @@ def test_tabs(html):
 
 def test_nav_path():
     html = "<nav><h3>Guides</h3><ul><li><button>Start</button><ul><li><a href='/x/other'>O</a></li><li><a href='/x/page/'>This page</a></li></ul></li></ul></nav><main>t</main>"
-    assert page(html)[1] == ["Guides", "Start", "This page"]
-    assert page(html.replace("<a href='/x/other'>", "<a class='q active' href='/x/other'>"))[1][-1] == "O"
-    assert page(html.replace("<a href='/x/other'>", "<a aria-current='page' href='/x/other'>"))[1][-1] == "O"
+    assert page(html)[1] == ["Guides", "Start"]
+    two = "<nav><h3>A</h3><ul><li><a href='/x/page'>P</a></li></ul><h3>B</h3><ul><li><a href='/x/other'>O</a></li></ul></nav>"
+    assert page(two)[1] == ["A"]
+    assert page(two.replace("<a href='/x/other'>", "<a class='q active' href='/x/other'>"))[1] == ["B"]
+    assert page(two.replace("<a href='/x/other'>", "<a aria-current='page' href='/x/other'>"))[1] == ["B"]
+    assert page("<nav><h3>Docs</h3><a href='/x/page'>X</a></nav>")[1] == []  # the menu's own label stands beside the link, not around it
+    assert page("<nav><h3>G</h3><p></p><ul><li><a href='/x/page'>X</a></li></ul></nav>")[1] == ["G"]
     assert page("<main>t</main>")[1] == []
 
 
