@@ -142,7 +142,7 @@ def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: The derived links: each page of a tool to the next one by url, written from the root, with a query and a fragment.
-_LINKS = f"(select tool, url, lead(url) over (partition by tool order by url) as next from (select distinct tool, url from manifest where strpos(url, '?') = 0 and strpos(url, '#') = 0))"
+_LINKS = f"(select tool, url, lead(url) over (partition by tool order by url) as next from (select distinct tool, url from manifest))"
 
 
 @query(
@@ -156,7 +156,7 @@ def links_resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, folder: str) -> DataFrame:
-    urls = table(spark, folder, "manifest").filter("instr(url, '?') = 0 and instr(url, '#') = 0").select("tool", "url").distinct()
+    urls = table(spark, folder, "manifest").select("tool", "url").distinct()
     nxt = F.lead("url").over(Window.partitionBy("tool").orderBy("url"))
     return urls.withColumn("next", nxt).filter("next is not null").select("tool", "url", F.concat(U.raw_path(F.col("next")), F.lit("?ref=nav#top")).alias("href"))
 
@@ -247,19 +247,29 @@ def listing_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _HASH = "nullif(regexp_replace(lower(trim(content_hash)), '^sha256:', ''), '')"
-_RUN = f"""(select tool, url, max(seq) as seq, max(page_path) as page_path, max({_HASH}) as h, max(error) as error from manifest where snapshot_no = {{}} group by tool, url)"""
-_STATUS = f"""(select n.tool, n.url, n.seq, n.page_path, case when n.error is not null then 'FAILED' when n.h = p.h then 'skipped' when p.url is not null then 'updated' else 'fetched' end as status
-  from {_RUN.format(8)} n left join {_RUN.format(7)} p using (tool, url))"""
+#: Each delivered snapshot of a tool as a run of its own, named tool#snapshot, against the one delivered before it.
+_RUNS = f"(select tool, snapshot_no, url, max(seq) as seq, max(page_path) as page_path, max({_HASH}) as h, max(error) as error from manifest group by tool, snapshot_no, url)"
+_ORDER = "(select tool, snapshot_no, lag(snapshot_no) over (partition by tool order by snapshot_no) as prev, lead(snapshot_no) over (partition by tool order by snapshot_no) as next from (select distinct tool, snapshot_no from manifest))"
+_STATUS = f"""(select n.tool || '#' || n.snapshot_no as tool, n.url, n.seq, n.page_path, case when n.error is not null then 'FAILED' when n.h = p.h then 'skipped' when p.url is not null then 'updated' else 'fetched' end as status
+  from {_RUNS} n join {_ORDER} o using (tool, snapshot_no) left join {_RUNS} p on p.tool = n.tool and p.snapshot_no = o.prev and p.url = n.url)"""
+
 
+def _order(m: DataFrame) -> DataFrame:
+    line = Window.partitionBy("tool").orderBy("snapshot_no")  # a row for each snapshot of a tool
+    return m.select("tool", "snapshot_no").distinct().select("tool", "snapshot_no", F.lead("snapshot_no").over(line).alias("next"))
 
-def _run(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    m = table(spark, folder, "manifest").filter(F.col("snapshot_no") == number)
-    return m.groupBy("tool", "url").agg(F.max("seq").alias("seq"), F.max("page_path").alias("page_path"), F.max(clean_hash(F.col("content_hash"))).alias("content_hash"), F.max("error").alias("error"))
+
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "manifest")
+    runs = m.groupBy("tool", "snapshot_no", "url").agg(F.max("seq").alias("seq"), F.max("page_path").alias("page_path"), F.max(clean_hash(F.col("content_hash"))).alias("content_hash"), F.max("error").alias("error"))
+    return runs.join(_order(m), ["tool", "snapshot_no"])
 
 
 def _status(spark: SparkSession, folder: str) -> DataFrame:
-    new = _run(spark, folder, 8).withColumn("http_status", F.lit(None).cast("int"))
-    return crawl.crawl_status(new, _run(spark, folder, 7))
+    runs = _runs(spark, folder)
+    name = lambda c: F.concat("tool", F.lit("#"), F.col(c).cast("string"))
+    prior = runs.filter("next is not null").withColumn("tool", name("next"))
+    return crawl.crawl_status(runs.withColumn("tool", name("snapshot_no")).withColumn("http_status", F.lit(None).cast("int")), prior)
 
 
 @query("crawl_status", f"select tool, url, seq, status from {_STATUS}")
@@ -317,23 +327,39 @@ def bfs_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Concept files with what the concepts have of a header: those without title or description break rules.
+#: Beside them files that break the other rules: pages without a header, listings with one, logs without a date.
 _FILES = """(select tool, page_path || '.md' as path, '---' || chr(10) || 'type: ' || coalesce(concept_type, '') || chr(10) || coalesce('title: ' || replace(title, chr(10), ' ') || chr(10), '')
-  || coalesce('description: ' || replace(description, chr(10), ' ') || chr(10), '') || '---' || chr(10) as text from (select distinct coalesce(tool, '') as tool, page_path, concept_type, title, description from concepts))"""
+  || coalesce('description: ' || replace(description, chr(10), ' ') || chr(10), '') || '---' || chr(10) as text from {c}
+  union all select distinct tool, page_path || '-plain.md', coalesce(title, '') from {c} where description is null
+  union all select distinct tool, page_path || '/index.md', case when length(page_path) % 2 = 0 then '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) else '# A' || chr(10) end from {c}
+  union all select distinct tool, 'log.md', '# Update Log' || chr(10) || case when length(tool) % 2 = 0 then '' else '## 2025-01-01' || chr(10) end from {c})""".format(
+    c="(select distinct coalesce(tool, '') as tool, page_path, concept_type, title, description from concepts)"
+)
 _HAS = "len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '{}:'))) > 0"
-_FINDINGS = f"""(select tool, path, unnest(list_filter([case when nullif(trim(regexp_extract(text, 'type:([^\\n]*)', 1)), '') is null then 'E2' end,
-  case when nullif(trim(regexp_extract(text, 'type:([^\\n]*)', 1)), '') is not null and not {_HAS.format('title')} then 'W1-title' end,
-  case when nullif(trim(regexp_extract(text, 'type:([^\\n]*)', 1)), '') is not null and not {_HAS.format('description')} then 'W1-description' end], lambda x: x is not null)) as rule
-  from {_FILES} where string_split(path, '/')[-1] not in ('index.md', 'glossary.md', 'log.md'))"""
+_TYPE = "nullif(trim(regexp_extract(text, 'type:([^\\n]*)', 1)), '')"
+_OPENED = "(text = '---' or starts_with(text, '---' || chr(10)))"
+_OWN_FILE = "string_split(path, '/')[-1] not in ('index.md', 'glossary.md', 'log.md')"
+_FINDINGS = f"""(select tool, path, unnest(list_filter([case when string_split(path, '/')[-1] = 'index.md' and path <> 'index.md' and {_OPENED} then 'E3' end,
+  case when string_split(path, '/')[-1] = 'log.md' and text <> '' and not regexp_matches(text, '(^|\\n)## [0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then 'WLOG' end,
+  case when {_OWN_FILE} and not {_OPENED} then 'E1' end,
+  case when {_OWN_FILE} and {_OPENED} and {_TYPE} is null then 'E2' end,
+  case when {_OWN_FILE} and {_OPENED} and {_TYPE} is not null and not {_HAS.format('title')} then 'W1-title' end,
+  case when {_OWN_FILE} and {_OPENED} and {_TYPE} is not null and not {_HAS.format('description')} then 'W1-description' end], lambda x: x is not null)) as rule
+  from {_FILES})"""
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "concepts").select(F.coalesce("tool", F.lit("")).alias("tool"), "page_path", "concept_type", "title", "description").distinct()
     line = lambda k: F.coalesce(F.concat(F.lit(f"{k}: "), F.translate(k, "\n", " "), F.lit("\n")), F.lit(""))
     text = F.concat(F.lit("---\ntype: "), F.coalesce("concept_type", F.lit("")), F.lit("\n"), line("title"), line("description"), F.lit("---\n"))
-    return c.select("tool", F.concat("page_path", F.lit(".md")).alias("path"), text.alias("text"))
+    own = c.select("tool", F.concat("page_path", F.lit(".md")).alias("path"), text.alias("text"))
+    plain = c.filter("description is null").select("tool", F.concat("page_path", F.lit("-plain.md")), F.coalesce("title", F.lit(""))).distinct()
+    listing = c.select("tool", F.concat("page_path", F.lit("/index.md")), F.when(F.length("page_path") % 2 == 0, "---\na: b\n---\n").otherwise("# A\n")).distinct()
+    log = c.select("tool", F.lit("log.md"), F.when(F.length("tool") % 2 == 0, "# Update Log\n").otherwise("# Update Log\n## 2025-01-01\n")).distinct()
+    return own.union(plain).union(listing).union(log)
 
 
-@query("conformance_findings", f"select tool, path, rule, case when rule = 'E2' then 'error' else 'warning' end as severity from {_FINDINGS}")
+@query("conformance_findings", f"select tool, path, rule, case when starts_with(rule, 'E') then 'error' else 'warning' end as severity from {_FINDINGS}")
 def conformance_findings(spark: SparkSession, folder: str) -> DataFrame:
     return conformance.findings(_files(spark, folder))
 
@@ -341,7 +367,7 @@ def conformance_findings(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "conformance_summary",
     f"""select f.tool, f.files, coalesce(r.errors, 0) as errors, coalesce(r.warnings, 0) as warnings from (select tool, count(*) as files from {_FILES} group by tool) f
-    left join (select tool, cast(sum(cast(rule = 'E2' as integer)) as bigint) as errors, cast(sum(cast(rule <> 'E2' as integer)) as bigint) as warnings from {_FINDINGS} group by tool) r using (tool)""",
+    left join (select tool, cast(sum(cast(starts_with(rule, 'E') as integer)) as bigint) as errors, cast(sum(cast(starts_with(rule, 'W') as integer)) as bigint) as warnings from {_FINDINGS} group by tool) r using (tool)""",
 )
 def conformance_summary(spark: SparkSession, folder: str) -> DataFrame:
     return conformance.summary(_files(spark, folder))
@@ -383,20 +409,120 @@ def frontmatter_read(spark: SparkSession, folder: str) -> DataFrame:
     return with_frontmatter(_files(spark, folder)).select("tool", "path", "front.type", "front.title", "front.description")
 
 
-@query("manifest_json")
+_LATEST_ROW = """(select tool || '#' || snapshot_no as tool, url, seq, page_path, cache_path, fetched_at, etag, last_modified, content_hash, array_to_string(nav_path, '/') as nav_path, status, error from manifest
+  qualify row_number() over (partition by tool, snapshot_no, url order by seq desc, entry_id desc) = 1)"""
+_SENT = "case when status is distinct from 'errored' then {0} end as {0}"
+
+
+@query(
+    "manifest_json",
+    f"""select tool, url, row_number() over (partition by tool order by seq, url) - 1 as seq, page_path, {', '.join(_SENT.format(c) for c in ('cache_path', 'fetched_at', 'etag', 'last_modified', 'content_hash', 'nav_path'))},
+    case when status = 'errored' then status end as status, case when status = 'errored' then error end as error from {_LATEST_ROW}""",
+)
 def manifest_json(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "manifest").filter("snapshot_no = 8").dropDuplicates(["tool", "url"])
-    return files.manifest_rows(files.manifest_json(m))
+    """Every snapshot of every tool as one JSON file, read again."""
+    m = table(spark, folder, "manifest").withColumn("tool", F.concat("tool", F.lit("#"), F.col("snapshot_no").cast("string")))
+    columns = [c for c in m.columns if c not in ("tool", "url", "snapshot_no")]
+    one = m.groupBy("tool", "url").agg(F.max(F.struct("seq", "entry_id", *[c for c in columns if c not in ("seq", "entry_id")])).alias("w")).select("tool", "url", "w.*")
+    place = F.row_number().over(Window.partitionBy("tool").orderBy("seq", "url"))  # a file's order
+    rows = files.manifest_rows(files.manifest_json(one.withColumn("seq", place)))
+    return rows.withColumn("nav_path", F.array_join("nav_path", "/"))
 
 
-@query("robots_allowed")
+@query("robots_allowed", f"select url from {_URLS} where not starts_with({_path('url')}, '/docs/')")
 def robots_allowed(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.robots_allowed(_urls(spark, folder), "User-agent: *\nDisallow: /docs/\nAllow: /", "foliant")
 
 
-@query("summaries")
+_LATEST_RUN = f"(select r.* from {_RUNS} r join {_ORDER} o using (tool, snapshot_no) where o.next is null)"
+_PROMPT = "Summarise this documentation page as JSON with summary, keywords and candidates.\nURL: "
+
+
+@query(
+    "summaries",
+    f"""select tool, page_path, status, case when status = 'summarized' then cast({len(_PROMPT) + 2} + length(url) + least(6000, length(md)) as varchar) || ' characters' end as summary
+    from (select m.tool, m.page_path, m.url, md, case when md is null then 'FAILED' when coalesce(description, '') <> '' and c_hash = m.h then 'skipped' else 'summarized' end as status
+      from {_LATEST_RUN} m left join (select tool, page_path, max(description) as description, max({_HASH}) as c_hash, max(content) as md from concepts where tool is not null group by all) c using (tool, page_path)
+      where coalesce(m.page_path, '') <> '')""",
+)
 def summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """With a provider that answers from the prompt alone, so that runs agree."""
-    m = table(spark, folder, "manifest").filter("snapshot_no = 8").groupBy("tool", "url").agg(F.max("seq").alias("seq"), F.max("page_path").alias("page_path"), F.max("content_hash").alias("content_hash"))
-    c = table(spark, folder, "concepts").filter("tool is not null").groupBy("tool", "page_path").agg(F.max("description").alias("description"), F.max("content_hash").alias("content_hash"), F.max("content").alias("md"))
+    """Of each tool's latest snapshot, with a provider that answers from the prompt alone, so that runs agree."""
+    m = _runs(spark, folder).filter("next is null")
+    c = table(spark, folder, "concepts").filter("tool is not null").groupBy("tool", "page_path").agg(F.max("description").alias("description"), F.max(clean_hash(F.col("content_hash"))).alias("content_hash"), F.max("content").alias("md"))
     return summarised(m, c, lambda prompt: '{"summary": "%d characters", "keywords": [], "candidates": []}' % len(prompt)).select("tool", "page_path", "status", "summary")
+
+
+@query(
+    "nav_labels",
+    "select concept_id, array_to_string(list_filter(list_transform(nav_path, lambda x: trim(x)), lambda x: x <> ''), '/') as labels from (select distinct concept_id, nav_path from concepts where nav_path is not null)",
+)
+def nav_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Menus nested as each concept's labels say, beside a menu of other pages, and the labels read off them again."""
+    c = table(spark, folder, "concepts").filter("nav_path is not null").select("concept_id", "nav_path").distinct()
+    label = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    opened = F.array_join(F.transform("nav_path", lambda x: F.concat(F.lit("<h3>"), label(x), F.lit("</h3><div>"))), "")
+    html = F.concat(F.lit("<nav><h4>Others</h4><p><a href='/other'>o</a></p></nav><nav>"), opened, F.lit("<p><a href='/own/'>this page</a></p>"), F.repeat(F.lit("</div>"), F.size("nav_path")), F.lit("</nav><main>x</main>"))
+    pages = c.select("concept_id", F.lit("https://docs.example/own").alias("url"), html.alias("html"))
+    return parsed_pages(pages).select("concept_id", F.array_join("nav_path", "/").alias("labels"))
+
+
+_LINE = "'* **' || case when status = 'fetched' then 'Creation' else 'Update' end || '**: [' || string_split(page_path, '/')[-1] || '](./' || page_path || '.md)'"
+_TWO_RUNS = f"""(select split_part(tool, '#', 1) as tool, cast(split_part(tool, '#', 2) as integer) as no, status, seq, {_LINE} as line from {_STATUS} where status in ('fetched', 'updated'))"""
+
+
+def _two_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Log lines of each tool's last run but one and of its last; every second tool's lie on one day."""
+    own = _status(spark, folder).filter(F.col("status").isin("fetched", "updated")).withColumn("run", F.split("tool", "#"))
+    own = own.select(F.col("run")[0].alias("tool"), F.col("run")[1].cast("int").alias("snapshot_no"), "url", "seq", "page_path", "status", F.lit(None).cast("string").alias("title"))
+    line = Window.partitionBy("tool").orderBy(F.desc("snapshot_no"))
+    m = table(spark, folder, "manifest")
+    back = m.select("tool", "snapshot_no").distinct().select("tool", "snapshot_no", F.row_number().over(line).alias("back"))
+    rows = own.join(back, ["tool", "snapshot_no"])
+    day = F.when((F.col("back") == 1) & (F.length("tool") % 2 == 0), "2025-01-02").otherwise("2025-01-01").cast("date")
+    rows = rows.withColumn("day", day)
+    return bundle.log_lines(rows.filter("back = 2")), bundle.log_lines(rows.filter("back = 1"))
+
+
+@query(
+    "log_after_run",
+    f"""with o as (select tool, snapshot_no as no, row_number() over (partition by tool order by snapshot_no desc) as back from (select distinct tool, snapshot_no from manifest)),
+r as (select t.tool, back, line, case when back = 1 and length(t.tool) % 2 = 0 then 2 else 1 end as day, row_number() over (partition by t.tool, back order by status = 'updated', t.seq) as seq from {_TWO_RUNS} t join o using (tool, no) where back <= 2),
+old as (select tool, 1 as section, 1 as day, seq, line from r where back = 2),
+fresh as (select n.* from r n left join old on old.tool = n.tool and old.day = n.day and trim(old.line) = trim(n.line) where n.back = 1 and old.line is null),
+new as (select f.tool, case when e.last is not null then 1 when t.tool is not null then 2 else 1 end as section, f.day, coalesce(e.last, 0) + f.seq as seq, f.line from fresh f
+  left join (select tool, day, max(seq) as last from old group by all) e on e.tool = f.tool and e.day = f.day left join (select distinct tool from old) t on t.tool = f.tool)
+select tool, cast(section as integer) as section, cast(date '2024-12-31' + cast(day as integer) as varchar) as day, cast(seq as integer) as seq, line from (select * from old union all select * from new)""",
+)
+def log_after_run(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _two_runs(spark, folder)
+    return bundle.merged_log(old.withColumn("section", F.lit(1)), new).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    "listing_after_run",
+    f"""with m as (select tool, page_path from {_RUNS} where page_path <> ''), k as (select tool, page_path, max(title) as title, max(description) as description from {_CONCEPTS} group by all),
+t as (select distinct tool, array_to_string(p[1:i], '/') as dir, p[i + 1] as child, case when i = len(p) - 1 then 'page' else 'dir' end as kind from (select tool, p, unnest(range(0, len(p))) as i from (select tool, string_split(page_path, '/') as p from m)))
+select t.tool, t.dir, child, '- [' || coalesce(nullif(k.title, ''), child) || '](./' || child || '.md) - ' || coalesce(k.description, '') as line from t
+left join k on k.tool = t.tool and k.page_path = case when t.dir = '' then child else t.dir || '/' || child end where kind = 'page'""",
+)
+def listing_after_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Page lines of the listings over all that any run has left in the manifests, with the titles of the concepts."""
+    m = _runs(spark, folder).filter("page_path <> ''").select("tool", "page_path").distinct()
+    pages = m.join(_listed(spark, folder), ["tool", "page_path"], "left")
+    lines = bundle.listing_lines(pages).filter("line like '%.md) - %'")
+    return lines.select("tool", "dir", F.regexp_extract("line", r"\]\(\./([^)]*)\.md\) - ", 1).alias("child"), "line")
+
+
+@query(
+    "progress_lines",
+    f"""with s as (select tool, status, row_number() over (partition by tool order by seq, url) as pos from {_STATUS}),
+n as (select tool, count(*) as total, greatest(1, cast(floor(count(*) / 10) as bigint)) as step from s group by tool),
+d as (select distinct tool, done, total from (select tool, unnest(range(step, total + 1, step)) as done, total from n union all select tool, total, total from n)),
+c as (select d.tool, done, total, status, count(*) as k, min(s.pos) as first_pos from d join s on s.tool = d.tool and s.pos <= d.done group by all)
+select tool, done, total, '  [' || done || '/' || total || '] ' || string_agg(k || ' ' || status, ', ' order by status) as line from c group by all""",
+)
+def progress_lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = bundle.progress_lines(_status(spark, folder))
+    parts = F.split(F.regexp_extract("line", r"\] (.*)$", 1), ", ")
+    by_name = F.array_join(F.array_sort(parts, lambda a, b: F.when(F.substring_index(a, " ", -1) < F.substring_index(b, " ", -1), -1).otherwise(1)), ", ")
+    return lines.select("tool", "done", "total", F.concat(F.regexp_extract("line", r"^(  \[\d+/\d+\] )", 1), by_name).alias("line"))
