@@ -151,20 +151,27 @@ def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
     return without_residue(_sources(spark, folder))
 
 
-@query(
-    "p6_found",
-    f"""
-with d as (select concept_id, {_WORDS.format("coalesce(any_value(title), '') || ' ' || coalesce(any_value(content), '')")} as w from concepts group by concept_id),
+_ALIKE = f"""
+with recursive d as (select concept_id, {_WORDS.format("coalesce(any_value(title), '') || ' ' || coalesce(any_value(content), '')")} as w from concepts group by concept_id),
 s as (select distinct concept_id, hash(w[k], w[k + 1], w[k + 2]) as h from (select concept_id, w, unnest(range(1, len(w) - 1)) as k from d where len(w) >= 50)),
 n as (select concept_id, count(*) as n from s group by concept_id),
-p as (select a.concept_id as a, b.concept_id as b, count(*) as c from s a join s b on a.h = b.h and a.concept_id < b.concept_id group by all)
-select p.a as concept_id_a, p.b as concept_id_b from p join n x on x.concept_id = p.a join n y on y.concept_id = p.b where p.c >= 0.6 * (x.n + y.n - p.c)
-""",
-)
+p as (select a.concept_id as a, b.concept_id as b, count(*) as c from s a join s b on a.h = b.h and a.concept_id < b.concept_id group by all),
+l as (select p.a, p.b from p join n x on x.concept_id = p.a join n y on y.concept_id = p.b where p.c >= 0.6 * (x.n + y.n - p.c))
+"""
+
+
+@query("p6_found", _ALIKE + "select a as concept_id_a, b as concept_id_b from l")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "concepts"), n=3, threshold=0.6)
 
 
-@query("p6_groups")
+@query(
+    "p6_groups",
+    _ALIKE
+    + """, e as (select a, b from l union all select b, a from l),
+r as (select concept_id as a, concept_id as b from d union select r.a, e.b from r join e on e.a = r.b),
+g as (select a, min(b) as group_id from r group by a)
+select g.a as concept_id, group_id, coalesce(k.links, 0) as links from g left join (select a, count(*) as links from e group by a) k using (a)""",
+)
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "concepts"), n=3, threshold=0.6)
