@@ -519,7 +519,7 @@ def listing_after_run(spark: SparkSession, folder: str) -> DataFrame:
 n as (select tool, count(*) as total, greatest(1, cast(floor(count(*) / 10) as bigint)) as step from s group by tool),
 d as (select distinct tool, done, total from (select tool, unnest(range(step, total + 1, step)) as done, total from n union all select tool, total, total from n)),
 c as (select d.tool, done, total, status, count(*) as k, min(s.pos) as first_pos from d join s on s.tool = d.tool and s.pos <= d.done group by all)
-select tool, done, total, '  [' || done || '/' || total || '] ' || string_agg(k || ' ' || status, ', ' order by status) as line from c group by all""",
+select tool, done, total, '  [' || done || '/' || total || '] ' || string_agg(k || ' ' || status, ', ' order by status) as line from c group by tool, done, total""",
 )
 def progress_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = bundle.progress_lines(_status(spark, folder))
