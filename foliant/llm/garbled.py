@@ -67,7 +67,7 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\x
 
 def _byte_of(encoding: str) -> dict[str, int]:
     """The byte behind each character of a single-byte encoding; bytes it leaves undefined pass as C1 controls."""
-    out = {}
+    out = {chr(b): b for b in range(0x80)}
     for b in range(0x80, 0x100):
         try:
             out[bytes([b]).decode(encoding)] = b
@@ -98,6 +98,49 @@ def invert(run: str, true: str, wrong: str) -> str | None:
     return "".join([*out, run[last:]]) if last else None
 
 
+#: Encodings in which a character may end in an ASCII byte: pairs of bytes (and single ones) that make a stretch of text.
+TRAILED = {
+    "shift_jis": re.compile(rb"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf])+"),
+    "big5": re.compile(rb"(?:[\xa1-\xf9][\x40-\x7e\xa1-\xfe])+"),
+}
+_LATIN = {w: {ord(c): b for c, b in BYTE[w].items()} for w in ("cp1252", "latin-1")}
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where a text can be one of TRAILED taken for Latin, of three characters and more with ASCII ends among them and
+    nearly all of a script that it is used for; such a stretch is one unit of the model, ASCII characters included."""
+    out: list[tuple[int, int]] = []
+    for wrong, table in _LATIN.items():
+        raw = text.translate(table).encode("latin-1", "replace")
+        for true, pattern in TRAILED.items():
+            if (true, wrong) not in PAIRS:
+                continue
+            for m in pattern.finditer(raw):
+                if len(m.group()) < 6 or not any(x < 0x80 for x in m.group()):
+                    continue
+                try:
+                    found = m.group().decode(true)
+                except UnicodeDecodeError:
+                    continue
+                if sum(symbol(c) in "あ漢。" for c in found) >= 0.9 * len(found):
+                    out.append(m.span())
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out, key=lambda x: (x[0] - x[1], x)):  # the longest first
+        if all(b <= x or a >= y for x, y in merged):
+            merged.append((a, b))
+    return sorted(merged)
+
+
+def units(text: str) -> list[tuple[int, int]]:
+    """The spans that the model labels: runs of other than ASCII characters, and stretches in place of theirs."""
+    runs = [m.span() for m in RUN.finditer(text)]
+    wide = stretches(text) if len(runs) > 2 else []
+    if not wide:
+        return runs
+    out = [r for r in runs if all(r[1] <= a or r[0] >= b for a, b in wide)]
+    return sorted([*out, *wide])
+
+
 def symbol(c: str) -> str:
     """A character's symbol in the language model: ASCII and the large scripts by class, others themselves."""
     if c < "\x80":
@@ -129,10 +172,8 @@ def readings(run: str) -> list[tuple[int, str]]:
             continue
         found = [text]
         if true == "utf-8":  # decoded wrongly more than once
-            for _ in range(2):
-                found += [t for a, b in UTF8_PAIRS if (t := invert(found[-1], a, b)) is not None and t not in found]
-        elif len(run) == 1 and not run.isalpha():
-            continue  # a lone sign is no evidence of a single byte's other meaning
+            for again in found:  # grows while there is another; each is shorter than what it came from
+                found += [t for a, b in UTF8_PAIRS if (t := invert(again, a, b)) is not None and t not in found]
         out += [(k, t) for t in found if all(c >= " " and not "\x7f" <= c <= "\x9f" for c in t)]
     return out
 
@@ -205,10 +246,13 @@ class Model:
         """``(state, log-likelihood, text)`` of a run under each state that can give it; the clean one comes first."""
         out = [(0, self.log_likelihood(before + run + after), run)]
         best: dict[int, tuple[float, str]] = {}
+        lone = len(run) == 1 and not run.isalpha() and not CONTROL.search(run) and not (before.isalpha() and after.isalpha())
         for k, text in readings(run):
             # a run of n characters stands for fewer ones: each saved character costs what a likely one would
             saved = max(0, len(run) - len(text)) * -1.0
             score = self.log_likelihood(before + text + after) + saved - 0.01 * k
+            if lone and PAIRS[k][0] != "utf-8":  # no evidence of another meaning, but no hindrance among others that are
+                score = min(score, out[0][1])
             if k not in best or score > best[k][0]:
                 best[k] = (score, text)
         out += [(k + 1, *x) for k, x in best.items()]
@@ -262,7 +306,7 @@ class Repairer:
         if text.isascii():
             return False, text, []
         seen = CODE.sub(lambda m: "`" * len(m.group()), text) if "`" in text else text
-        found = [(m.span(), self.emission((seen[m.start() - 1 : m.start()] or "\n", m.group(), seen[m.end() : m.end() + 1] or "\n"))) for m in RUN.finditer(seen)]
+        found = [((a, b), self.emission((seen[a - 1 : a] if a else "\n", seen[a:b], seen[b : b + 1] or "\n"))) for a, b in units(seen)]
         if not any(len(e) > 1 and max(x for _, x, _ in e[1:]) > e[0][1] for _, e in found):
             lost = LOST in seen or CONTROL.search(seen) is not None
             return lost, text, []

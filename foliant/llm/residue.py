@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from foliant.llm.lines import normal_line, per_slice, site
 from foliant.llm.markup import without_code
-from foliant.llm.repeated import frequent_lines
-from foliant.scale import bounded_broadcast
+from foliant.scale import bounded_broadcast, cut
 
 try:
     import ahocorasick
@@ -66,6 +65,12 @@ SCRIPT = re.compile(
 )
 #: Messages of the fetch itself, which are no residue whatever their url holds.
 OWN_MESSAGE = re.compile(r"^\s*(?:\d{3} (?:Client|Server) Error: .* for url:|HTTPS?ConnectionPool\(|\('Connection aborted|Exceeded \d+ redirects|Page\.\w+: Timeout|could not decode the response body)", re.S)
+#: A status code as a number of its own at the start or end of a page's first line, markup and the word for error aside.
+_STATUS = re.compile(r"^\W*(?:[^\W\d_]+\W+){0,2}[45]\d\d\b(?!\s*(?:[%€$]|[^\W\d_]{1,2}\b))|\b[45]\d\d\W*$")
+#: What is too little for an article.
+SMALL_WORDS, SMALL_LINES = 40, 6
+#: Words of a title at most; a sentence is none.
+TITLE_WORDS = 6
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -162,24 +167,51 @@ def _suspects(text: str) -> list[tuple[int, str, frozenset[str]]]:
     return out
 
 
+def is_small(text: str) -> bool:
+    """No more than a heading and a sentence or two: too little for an article."""
+    return len(text) <= 600 and len(_WORD.findall(text)) <= SMALL_WORDS and sum(1 for x in text.split("\n") if x.strip()) <= SMALL_LINES
+
+
+def shaped_like_an_error(text: str) -> int | None:
+    """The line of a small page, whatever its language, that an error's status code opens or closes, or that is all
+    there is of its title."""
+    if not is_small(text):
+        return None
+    for i, line in enumerate(without_code(text).split("\n"), 1):
+        if line.strip():
+            bare = _URL.sub("", line).strip()
+            return i if bare[-1:] not in ".!?。" and len(_WORD.findall(bare)) <= TITLE_WORDS and _STATUS.search(bare) else None
+    return None
+
+
 def residue_lines(text: str) -> list[tuple[int, str]]:
-    """``(line_no, kind)`` of the lines of a text that show residue; code, fenced or inline, has none."""
-    return [(i, kind) for i, line, groups in _suspects(text) if (kind := evidence(line, groups))]
+    """``(line_no, kind)`` of the lines of a text that show residue; code, fenced or inline, has none.
+
+    Evidence are the patterns above and, in any language, the shape of an error page."""
+    found = {i: kind for i, line, groups in _suspects(text) if (kind := evidence(line, groups))}
+    if not found and not OWN_MESSAGE.search(text) and (at := shaped_like_an_error(text)):
+        found[at] = "error"
+    return sorted(found.items())
 
 
 def altogether(text: str) -> bool:
     """The text is nothing but residue: most of its words stand in such lines, or it is short and has no article."""
     suspects = _suspects(text)
+    if not suspects or len(text) <= 600:
+        hits = residue_lines(text)  # small pages by their shape as well
+        suspects = [(i, "", frozenset()) for i, _ in hits] if hits else []
+    else:
+        hits = None
     if not suspects:
         return False
     numbered = text.split("\n")
     count = lambda lines: len(_WORD.findall("\n".join(lines)))
     words = count(numbered)
-    small = words <= 40 and sum(1 for x in numbered if x.strip()) <= 6
+    small = words <= SMALL_WORDS and sum(1 for x in numbered if x.strip()) <= SMALL_LINES
     if not small and count(numbered[i - 1] for i, *_ in suspects) < 0.5 * words:
         return False
-    hits = [i for i, line, groups in suspects if evidence(line, groups)]
-    return bool(hits) and (small or count(numbered[i - 1] for i in hits) >= 0.5 * words)
+    at = [i for i, _ in hits] if hits is not None else [i for i, line, groups in suspects if evidence(line, groups)]
+    return bool(at) and (small or count(numbered[i - 1] for i in at) >= 0.5 * words)
 
 
 def residue(
@@ -187,18 +219,20 @@ def residue(
 ) -> DataFrame:
     """``(origin, record_id, kinds)`` of the records whose own text shows residue.
 
-    ``sources`` has ``(origin, table, id, text, url)`` each. Normal lines are counted by host; one that at least
-    ``min_docs`` records and ``min_share`` of all records of a host have is the site's furniture and no evidence
-    against a record. What remains must show a placeholder, filler, error-page text or a notice that scripts are
-    needed. Counts are sums combined before the shuffle; only lines with evidence, few, are joined to them.
+    ``sources`` has ``(origin, table, id, text, url)`` each; ids that aren't whole numbers make all of them strings.
+    Lines with evidence are counted by host in their normal form: one that at least ``min_docs`` records and
+    ``min_share`` of all records of a host have is the site's furniture (a notice for readers without scripts, a
+    banner) and no evidence against a record. What remains is. A line that is no evidence need not be counted, so the
+    texts are read once, and only lines with evidence are grouped.
 
     Defined cases: null and empty texts show none; a fetch's own message shows none; repeated rows give one row; a
     record without a host has no furniture; tables may be empty.
     """
     parts = []
+    kind_of_id = id_type(sources)
     for origin, df, id_col, text, url in sources:
-        docs = df.select(F.col(id_col).cast("long").alias("record_id"), F.col(text).cast("string").alias("text"), F.col(url).alias("url"))
-        schema = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("line", T.StringType()), T.StructField("kind", T.StringType())])
+        docs = df.select(F.col(id_col).cast(kind_of_id).alias("record_id"), F.col(text).cast("string").alias("text"), F.col(url).alias("url"))
+        schema = T.StructType([T.StructField("record_id", kind_of_id), T.StructField("url", T.StringType()), T.StructField("line", T.StringType()), T.StructField("kind", T.StringType())])
 
         def work(batch: pa.RecordBatch, names=schema.names) -> pa.RecordBatch:
             rows, line, kind = [], [], []
@@ -212,15 +246,25 @@ def residue(
             return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.string()), pa.array(kind, pa.string())], names)
 
         hits = docs.filter("text is not null").mapInArrow(per_slice(work, "text"), schema)
-        hits = hits.select("record_id", site(F.col("url")).alias("site"), F.xxhash64(normal_line(F.col("line"))).alias("line"), "kind")
-        furniture = frequent_lines(docs, "record_id", "text", "url", min_chars=1, min_docs=min_docs, min_share=min_share)
-        furniture, _ = bounded_broadcast(furniture)
+        hits = cut(hits.select("record_id", site(F.col("url")).alias("site"), F.xxhash64(normal_line(F.col("line"))).alias("line"), "kind").distinct())
+        hosts, _ = bounded_broadcast(hits.filter("site is not null").select("site").distinct())
+        records = docs.select("record_id", site(F.col("url")).alias("site")).join(hosts, "site", "left_semi").distinct()
+        sizes, _ = bounded_broadcast(records.groupBy("site").agg(F.count(F.lit(1)).alias("records")))
+        counts = hits.select("record_id", "site", "line").distinct().groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+        furniture, _ = bounded_broadcast(counts.join(sizes, "site").filter(F.col("n") >= F.ceil(F.col("records") * min_share - 1e-9)).select("site", "line"))
         kept = hits.join(furniture, ["site", "line"], "left_anti")
         parts.append(kept.groupBy("record_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("kind"))).alias("kinds")).select(F.lit(origin).alias("origin"), "record_id", "kinds"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def id_type(sources: list[tuple[str, DataFrame, str, str, str]]) -> T.DataType:
+    """Whole numbers if all ids are, else strings."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    return T.LongType() if all(isinstance(df.schema[i].dataType, whole) for _, df, i, _, _ in sources) else T.StringType()
+
+
 def without_residue(sources: list[tuple[str, DataFrame, str, str, str]], **limits) -> DataFrame:
     """``(origin, record_id)`` of the records that show no residue, each once."""
-    all_rows = reduce(DataFrame.unionByName, [df.select(F.lit(o).alias("origin"), F.col(i).cast("long").alias("record_id")).distinct() for o, df, i, _, _ in sources])
+    kind = id_type(sources)
+    all_rows = reduce(DataFrame.unionByName, [df.select(F.lit(o).alias("origin"), F.col(i).cast(kind).alias("record_id")).distinct() for o, df, i, _, _ in sources])
     return all_rows.join(residue(sources, **limits), ["origin", "record_id"], "left_anti")
