@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.boilerplate import chrome_rows, main_text
 from foliant.llm.bpe import encode_ids
@@ -44,7 +45,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p3_pieces")
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return text_pieces(table(spark, folder, "concepts").dropDuplicates(["concept_id"]))
+    return text_pieces(one_row_per_id(table(spark, folder, "concepts"), "concept_id"))
+
+
+@query("p3_rebuilt", "select distinct concept_id, sha256(content) as content, true as within_limit, true as overlap_kept from concepts where content is not null")
+def p3_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces put together again without their overlap: each text's hash, whether all pieces are within the limit
+    and each begins with the end of the one before."""
+    pieces = F.array_sort(F.collect_list(F.struct("piece_no", "piece")))  # of one text
+    rows = p3_pieces(spark, folder).filter("piece is not null").groupBy("concept_id").agg(pieces.alias("p"))
+    first, rest = F.col("p")[0]["piece"], F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    whole = F.concat(first, F.array_join(F.transform(rest, lambda x: F.substring(x["piece"], 201, 4000)), ""))
+    kept = F.forall(rest, lambda x: F.substring(x["piece"], 1, 200) == F.right(F.element_at("p", x["piece_no"] - 1)["piece"], F.lit(200)))
+    return rows.select("concept_id", F.sha2(whole, 256).alias("content"), F.forall("p", lambda x: F.length(x["piece"]) <= 4000).alias("within_limit"), kept.alias("overlap_kept"))
 
 
 _REPEATED = r"""
@@ -73,7 +86,7 @@ k as (select a.concept_id, string_agg(x, chr(10) order by a.line_no) as kept fro
 select c.concept_id, case when c.content is null then null else coalesce(k.kept, '') end as content from c left join k using (concept_id)""",
 )
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return without_repeated_lines(table(spark, folder, "concepts")).select("concept_id", "content").distinct()
+    return without_repeated_lines(one_row_per_id(table(spark, folder, "concepts"), "concept_id")).select("concept_id", "content")
 
 
 @query("p8_ids")

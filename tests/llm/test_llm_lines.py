@@ -44,13 +44,10 @@ def test_lines_are_removed_in_place(spark):
         without_repeated_lines(d.withColumn("_site", F.lit(1)))
 
 
-def test_the_way_without_broadcast_agrees(spark, monkeypatch):
-    import foliant.llm.repeated as R
-
+def test_the_way_without_broadcast_agrees(spark):
     want, clean = sorted(repeated_lines(pages(spark)).collect()), sorted(without_repeated_lines(pages(spark)).collect(), key=str)
-    monkeypatch.setattr(R, "bounded_broadcast", lambda d, n=0: (d, False))
-    assert sorted(repeated_lines(pages(spark)).collect()) == want
-    assert sorted(without_repeated_lines(pages(spark)).collect(), key=str) == clean
+    assert sorted(repeated_lines(pages(spark), max_broadcast_lines=0).collect()) == want
+    assert sorted(without_repeated_lines(pages(spark), max_broadcast_lines=0).collect(), key=str) == clean
     assert frequent_lines(pages(spark), "concept_id", "content", "resource").count() == 1
 
 
