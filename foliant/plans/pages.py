@@ -11,7 +11,7 @@ from foliant.functions import text as X
 from foliant.functions import urls as U
 from foliant.operators import dom
 from foliant.operators.render import Renderer
-from foliant.scale import bounded_broadcast, cut
+from foliant.scale import bounded_broadcast, cut, one_row_per_id
 from foliant.sources.frontmatter import frontmatter_text
 
 #: What stands in a rendered body for its n-th link until the link is known.
@@ -122,11 +122,13 @@ def concepts(
     """Converted pages: ``tool, page_path, url, type, title, description, resource, timestamp, content_hash, keywords,
     nav_path, body, md``.
 
-    ``pages`` is a pages_table; of several urls on one page path the one with the greatest seq wins. Descriptions and
+    ``pages`` is a pages_table; a row that comes twice counts once, of several urls on one page path the one with the
+    greatest seq wins. Descriptions and
     keywords of ``existing`` (tool, page_path, description, keywords) are kept. Which urls lose their path is found by
     their numbers, before anything is parsed. Parsed pages are written once to the shared folder, since links and
     bodies are both taken from them.
     """
+    pages = one_row_per_id(pages.withColumn("_page", F.concat_ws(" ", "seq", "tool", "url")), "_page").drop("_page")
     names = pages.select("tool", "page_path", "seq", "url")
     best = names.groupBy("tool", "page_path").agg(F.max(F.struct("seq", "url")).alias("w")).select(F.col("tool").alias("w_tool"), F.col("page_path").alias("w_path"), "w.seq", "w.url").toDF("w_tool", "w_path", "w_seq", "w_url")
     same = F.col("tool").eqNullSafe(F.col("w_tool")) & F.col("page_path").eqNullSafe(F.col("w_path"))

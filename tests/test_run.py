@@ -7,6 +7,8 @@ from foliant import cli
 from foliant.operators import conformance
 from foliant.sources import files
 from foliant.sources.fetch import Response, fetch_pages, fetch_with_retry
+from foliant import scale
+from foliant.streaming import incremental
 from foliant.streaming.incremental import PAGES, start
 
 HTML = "<title>{0}</title><main><h1>{0}</h1><p>Text of {0} and <a href='/guide/b'>b</a>.</p></main>"
@@ -148,3 +150,14 @@ def test_stream_of_pages(spark, tmp_path):
     start(spark, source, out, state, "r2").awaitTermination()
     rows = spark.read.parquet(f"{out}/concepts").orderBy("page_path").collect()
     assert [(r.page_path, r.title) for r in rows] == [("x", "One"), ("y", "Two")]  # the unchanged page came once
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "FULL_EVERY", 2)
+    out = str(tmp_path / "out")
+    for n in (0, 1, 1, 2, 3, 3):
+        rows = [(1, "https://docs.a.example/x", HTML.format(f"X{n}"), 200, None), (2, f"https://docs.a.example/p{n}", HTML.format(f"P{n}"), 200, None), (2, f"https://docs.a.example/p{n}", HTML.format(f"P{n}"), 200, None)]
+        incremental.merge_batch(spark.createDataFrame(rows, PAGES), n, out, f"r{n}")
+    assert {(r.page_path, r.title) for r in incremental.read_concepts(spark, out).collect()} == {("x", "X3"), *((f"p{n}", f"P{n}") for n in range(4))}
+    assert incremental.read_state(spark, out).count() == 5 and scale.children(spark, f"{out}/full") == ["batch=2"]
+    assert scale.exists(spark, out) and not scale.exists(spark, f"{out}/none") and scale.children(spark, f"{out}/none") == []
