@@ -195,23 +195,20 @@ def residue_lines(text: str) -> list[tuple[int, str]]:
 
 
 def altogether(text: str) -> bool:
-    """The text is nothing but residue: most of its words stand in such lines, or it is short and has no article."""
+    """The text is nothing but residue: half of it and more stands in such lines, or it is small and has no article."""
     suspects = _suspects(text)
-    if not suspects or len(text) <= 600:
-        hits = residue_lines(text)  # small pages by their shape as well
-        suspects = [(i, "", frozenset()) for i, _ in hits] if hits else []
-    else:
-        hits = None
     if not suspects:
-        return False
+        return not OWN_MESSAGE.search(text) and shaped_like_an_error(text) is not None
+    small = is_small(text)
     numbered = text.split("\n")
-    count = lambda lines: len(_WORD.findall("\n".join(lines)))
-    words = count(numbered)
-    small = words <= SMALL_WORDS and sum(1 for x in numbered if x.strip()) <= SMALL_LINES
-    if not small and count(numbered[i - 1] for i, *_ in suspects) < 0.5 * words:
+    size = lambda numbers: sum(len(numbered[i - 1].strip()) for i in numbers)
+    half = 0.5 * size(range(1, len(numbered) + 1))
+    if not small and size(i for i, *_ in suspects) < half:
         return False
-    at = [i for i, _ in hits] if hits is not None else [i for i, line, groups in suspects if evidence(line, groups)]
-    return bool(at) and (small or count(numbered[i - 1] for i in at) >= 0.5 * words)
+    at = [i for i, line, groups in suspects if evidence(line, groups)]
+    if small:
+        return bool(at) or shaped_like_an_error(text) is not None
+    return bool(at) and size(at) >= half
 
 
 def residue(
