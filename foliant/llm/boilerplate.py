@@ -268,8 +268,8 @@ class Template:
         return w in self.heads or self.shared is not None and w in self.shared.heads
 
     def menu(self, shown: str) -> bool:
-        """The words of a line are a row of template tokens with nothing between them but blanks."""
-        words = shown.lower().split()
+        """The words of a line are a row of template tokens with nothing between them but blanks and marks."""
+        words = [w for x in _DIGITS.sub("0", shown.lower()).split() if (w := x.strip(_MARKS))]
         if len(words) < 2:
             return False
         at, found = 0, 0
