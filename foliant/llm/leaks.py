@@ -186,6 +186,9 @@ class Index:
         own = words[at : min(stop, at + reach)] if step > 0 else words[max(first, at - reach + 1) : at + 1]
         if not self.edits:
             return own == item
+        there = set(own)
+        if sum(w not in there for w in item) > self.edits:
+            return False  # each word that is missing is an edit
         return edits_to_prefix(item[::step], own[::step], self.edits) <= self.edits
 
 
