@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import text as X
+from foliant.functions.registry import register
 from foliant.operators import bundle, crawl
 from foliant.plans.pages import CLOSE, OPEN, filled, link_targets, page_links, parsed_pages
 from foliant.plans.summaries import glossary, summarised
@@ -246,3 +247,14 @@ def merged_headers(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("id").cast("string")
     text = F.concat(F.lit("---\nb: x"), n, F.lit("\na: old\n---\n\ntext "), n)
     return _ids(spark, folder).select("id", merged_text(text, F.concat(F.lit('{"a": "n'), n, F.lit('"}'))).alias("text"))
+
+
+@query("sql_functions", f"select url, {_own_path('url')} as page_path, regexp_replace(url, '[?#].*$', '') as plain, sha256(url) as hash, 'T' as title from (select distinct url from manifest where url like 'http%')")
+def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The functions for SQL on all urls of the manifests, in one statement."""
+    register(spark)
+    table(spark, folder, "manifest").createOrReplaceTempView("foliant_urls")
+    return spark.sql(
+        """select url, foliant_page_path(url) as page_path, foliant_normal_url(url) as plain, foliant_page_hash(url) as hash,
+        foliant_parse_page('<title>T</title>', url).title as title from (select distinct url from foliant_urls where url like 'http%')"""
+    )

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions.registry import register
 from foliant.operators import dom
 from foliant.plans import pages as P
 
@@ -113,3 +114,11 @@ def test_page_links_keep_the_first(spark, site):
 def test_parse_runs_once_a_page(spark, site):
     plan = P.parsed_pages(site).filter("title = 'One'").select("title", "body")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_functions_for_sql(spark):
+    names = register(spark)
+    assert "foliant_parse_page" in names and register(spark) == names
+    spark.createDataFrame([("https://docs.a.example/x/page/?q=1", "<title>T</title><nav><a href='/b'>b</a></nav><main>x</main>"), (None, None)], "url string, html string").createOrReplaceTempView("raw_pages")
+    rows = spark.sql("select foliant_page_path(url) p, foliant_normal_url(url) n, foliant_parse_page(html, url).title t, foliant_page_links(html) l, foliant_body_of('---\\na: b\\n---\\nrest') b from raw_pages order by url desc").collect()
+    assert tuple(rows[0]) == ("x/page", "https://docs.a.example/x/page/", "T", ["/b"], "rest") and rows[1].l is None and rows[1].t is None
