@@ -147,6 +147,9 @@ def in_line(first: str, other: str) -> int:
     return word(f"{first}\x1f{other}")
 
 
+_SEGMENT, _IN_HEAD = (0, False, 0), (0, True, 0)
+
+
 def page_tokens(text: str) -> dict[int, tuple[int, bool, int]]:
     """The tokens of a page: hash to (line role, whether it stands in headings alone, place in its line).
 
@@ -155,10 +158,12 @@ def page_tokens(text: str) -> dict[int, tuple[int, bool, int]]:
     """
     own: dict[int, tuple[int, bool, int]] = {}
     for line in parse(text):
-        head = line.role == "head"
+        if line.role == "head":
+            for t in line.tokens:
+                own.setdefault(word(t), _IN_HEAD)
+            continue
         for t in line.tokens:
-            w = word(t)
-            own[w] = (0, head and own.get(w, (0, True, 0))[1], 0)
+            own[word(t)] = _SEGMENT
         words = line.words
         if words:
             role = word(words[0])
@@ -185,21 +190,26 @@ def template_classes(docs: DataFrame, min_docs: int = 3, min_share: float = 0.00
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                seen: dict[tuple[str, int], list[int]] = {}
+                places: dict[str, dict[int, int]] = {}
+                hosts, token, roles, pages, heads, vectors, at = [], [], [], [], [], [], []
                 for key, text, host in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    page = xxhash.xxh3_64_intdigest(str(key)) >> 1
+                    page = xxhash.xxh3_64_intdigest(str(key)) & _VECTOR
+                    known = places.setdefault(host, {})
                     for w, (role, head, place) in page_tokens(text).items():
-                        x = seen.get((host, w))
-                        if x is None:
-                            seen[host, w] = [role, 1, int(head), page & _VECTOR, place]
+                        i = known.get(w)
+                        if i is None:
+                            known[w] = len(token)
+                            hosts.append(host), token.append(w), roles.append(role), pages.append(1), heads.append(int(head)), vectors.append(page), at.append(place)
                         else:
-                            x[1] += 1
-                            x[2] += head
-                            x[3] = (x[3] + page) & _VECTOR
-                            x[4] += place
-                if seen:
-                    keys, sums = list(seen), np.array(list(seen.values()), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), *(pa.array(sums[:, j]) for j in range(5))], ["site", "token", "role", "docs", "head_docs", "vector", "place"])
+                            pages[i] += 1
+                            vectors[i] += page
+                            if head:
+                                heads[i] += 1
+                            if place:
+                                at[i] += place
+                if token:
+                    vectors = [v & _VECTOR for v in vectors]
+                    yield pa.RecordBatch.from_arrays([pa.array(hosts), *(pa.array(x, pa.int64()) for x in (token, roles, pages, heads, vectors, at))], ["site", "token", "role", "docs", "head_docs", "vector", "place"])
 
     sums = docs.select("id", "text", "site").filter("text is not null and site is not null").mapInArrow(count, "site string, token long, role long, docs long, head_docs long, vector long, place long")
     total = [F.first("role").alias("role"), *(F.sum(c).alias(c) for c in ("docs", "head_docs", "place")), F.expr(f"sum(vector) & {_VECTOR}").alias("vector")]
